@@ -9,6 +9,7 @@ any text that holds an added token's string, goes through the library as a whole
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import unicodedata
 
@@ -22,6 +23,8 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: Pieces kept in the table; beyond it the table starts anew.
 TABLE_PIECES = 400_000
 LONG_PIECE = 512
+#: Odd bases of the two hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 @functools.cache
@@ -37,12 +40,26 @@ def classes() -> np.ndarray:
     return out
 
 
-def piece_starts(big: str, bounds: np.ndarray) -> np.ndarray:
-    """Positions in ``big`` where a piece begins; bounds: where each text begins, and the end."""
+@functools.lru_cache(4)
+def powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64 and of its inverse, 2^bits of each."""
+    each = lambda x: np.multiply.accumulate(np.append(np.uint64(1), np.full((1 << bits) - 1, x, np.uint64)))
+    return each(base), each(pow(base, -1, 1 << 64))
+
+
+def piece_hash(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A polynomial hash of each piece, from running sums over all code points."""
+    up, down = powers(base, max(21, int(len(cp)).bit_length()))
+    run = np.zeros(len(cp) + 1, np.uint64)
+    np.cumsum((cp + np.uint64(1)) * up[: len(cp)], dtype=np.uint64, out=run[1:])
+    return (run[ends] - run[starts]) * down[starts]
+
+
+def piece_starts(big: str, cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Positions in ``big`` (code points ``cp``) where a piece begins; bounds: where each text begins, and the end."""
     n = len(big)
     if not n:
         return np.zeros(0, np.int64)
-    cp = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
     cls = classes()[cp]
     first = np.zeros(n + 1, bool)
     first[bounds] = True
@@ -68,9 +85,10 @@ def piece_starts(big: str, bounds: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Encodes lists of texts to flat arrays of ids, with the ids' character spans on demand."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spans: bool = False):
         from tokenizers import Tokenizer
 
+        self.spans = spans
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -89,13 +107,14 @@ class PieceEncoder:
             self._reset()
         found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
         sizes = np.array([len(e.ids) for e in found], np.int64)
-        flat = lambda rows: np.array([x for r in rows for x in r], np.int32)
+        flat = lambda rows: np.fromiter(itertools.chain.from_iterable(rows), np.int32)
         k = len(self.row)
         self.row.update((p, k + i) for i, p in enumerate(pieces))
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, flat(e.ids for e in found)])
-        self.lo = np.concatenate([self.lo, flat([a for a, _ in e.offsets] for e in found)])
-        self.hi = np.concatenate([self.hi, flat([b for _, b in e.offsets] for e in found)])
+        if self.spans:
+            self.lo = np.concatenate([self.lo, flat([a for a, _ in e.offsets] for e in found)])
+            self.hi = np.concatenate([self.hi, flat([b for _, b in e.offsets] for e in found)])
 
     def _whole(self, texts: list[str], spans: bool):
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -106,8 +125,9 @@ class PieceEncoder:
             return ids, sizes, None, None
         return ids, sizes, flat([a for a, _ in e.offsets] for e in found), flat([b for _, b in e.offsets] for e in found)
 
-    def encode(self, texts: list[str], spans: bool = False):
-        """Flat ids, the number of ids of each text, and with ``spans`` the ids' first and end characters in their text."""
+    def encode(self, texts: list[str]):
+        """Flat ids, the number of ids of each text, and if the encoder keeps spans the ids' first and end characters."""
+        spans = self.spans
         if not texts:
             z = np.zeros(0, np.int64)
             return z, z, (z if spans else None), (z if spans else None)
@@ -115,20 +135,26 @@ class PieceEncoder:
             return self._whole(texts, spans)
         big = "".join(texts)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        starts = piece_starts(big, bounds)
+        cp = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = piece_starts(big, cp, bounds)
         if not len(starts):
             z = np.zeros(0, np.int64)
             return z, np.zeros(len(texts), np.int64), (z if spans else None), (z if spans else None)
         ends = np.append(starts[1:], len(big))
         if (ends - starts).max() > LONG_PIECE:
             return self._whole(texts, spans)
-        pieces = [big[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        new = set(pieces).difference(self.row)
+        # equal pieces share a row; a second hash and the length confirm the first
+        _, one, same = np.unique(piece_hash(cp, starts, ends, BASES[0]), return_index=True, return_inverse=True)
+        check = piece_hash(cp, starts, ends, BASES[1]) + (ends - starts).astype(np.uint64)
+        if (check != check[one][same]).any():
+            return self._whole(texts, spans)
+        pieces = [big[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        new = [p for p in pieces if p not in self.row]
         if new:
             if len(self.row) + len(new) > TABLE_PIECES:
-                new = set(pieces)
-            self._learn(sorted(new))
-        rows = np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))
+                new = pieces
+            self._learn(new)
+        rows = np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))[same]
         size = self.at[rows + 1] - self.at[rows]
         end_at = np.cumsum(size)
         pick = np.arange(end_at[-1]) + np.repeat(self.at[rows] - (end_at - size), size)
@@ -141,6 +167,6 @@ class PieceEncoder:
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, spans: bool = False) -> PieceEncoder:
     """One encoder for each Python worker."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, spans)
