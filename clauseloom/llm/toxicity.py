@@ -24,8 +24,8 @@ HASH_BITS, PREFIX = 22, 6
 #: Labelled rows that the machine is fitted on at most: those with the smallest hashes of their doc_id.
 SAMPLE_ROWS = 20_000
 #: Kept terms at most, the least rows with a kept term, and the least difference in standard errors.
-MAX_TERMS, MIN_ROWS, MIN_Z = 4096, 5, 3.5
-FACTORS, STEPS, RATE, DECAY = 8, 400, 0.05, 2e-3
+MAX_TERMS, MIN_ROWS, MIN_Z = 2048, 5, 5.0
+FACTORS, STEPS, RATE, DECAY = 8, 300, 0.05, 2e-3
 TABLE_WORDS = 500_000
 
 
