@@ -98,18 +98,16 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.row: dict[str, int] = {}
+        self.keys, self.checks, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.at = np.zeros(1, np.int64)
         self.ids, self.lo, self.hi = (np.zeros(0, np.int32) for _ in range(3))
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.row) + len(pieces) > TABLE_PIECES:
-            self._reset()
+    def _learn(self, pieces: list[str], checks: np.ndarray) -> None:
+        """Encode new pieces; their rows follow those in the table."""
         found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
         sizes = np.array([len(e.ids) for e in found], np.int64)
         flat = lambda rows: np.fromiter(itertools.chain.from_iterable(rows), np.int32)
-        k = len(self.row)
-        self.row.update((p, k + i) for i, p in enumerate(pieces))
+        self.checks = np.concatenate([self.checks, checks])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, flat(e.ids for e in found)])
         if self.spans:
@@ -143,18 +141,34 @@ class PieceEncoder:
         ends = np.append(starts[1:], len(big))
         if (ends - starts).max() > LONG_PIECE:
             return self._whole(texts, spans)
-        # equal pieces share a row; a second hash and the length confirm the first
-        _, one, same = np.unique(piece_hash(cp, starts, ends, BASES[0]), return_index=True, return_inverse=True)
+        # equal pieces share a row of the table: it is found by one hash, and a second one with the length confirms it
+        key = piece_hash(cp, starts, ends, BASES[0])
         check = piece_hash(cp, starts, ends, BASES[1]) + (ends - starts).astype(np.uint64)
+        order = np.argsort(key)
+        ordered = key[order]
+        lead = np.append(True, ordered[1:] != ordered[:-1])
+        same = np.empty(len(key), np.int64)
+        same[order] = np.cumsum(lead) - 1
+        one = order[lead]
         if (check != check[one][same]).any():
             return self._whole(texts, spans)
-        pieces = [big[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-        new = [p for p in pieces if p not in self.row]
-        if new:
-            if len(self.row) + len(new) > TABLE_PIECES:
-                new = pieces
-            self._learn(new)
-        rows = np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))[same]
+        at = np.searchsorted(self.keys, key[one])
+        found = at < len(self.keys)
+        found[found] = self.keys[at[found]] == key[one][found]
+        if (self.checks[self.rows[at[found]]] != check[one][found]).any():
+            return self._whole(texts, spans)
+        if not found.all():
+            if len(self.keys) + int((~found).sum()) > TABLE_PIECES:
+                self._reset()
+                found[:] = False
+                at[:] = 0
+            new = one[~found]
+            self._learn([big[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], check[new])
+            # both are sorted: the new keys go between the old ones
+            self.rows = np.insert(self.rows, at[~found], len(self.rows) + np.arange(len(new)))
+            self.keys = np.insert(self.keys, at[~found], key[new])
+            at = np.searchsorted(self.keys, key[one])
+        rows = self.rows[at][same]
         size = self.at[rows + 1] - self.at[rows]
         end_at = np.cumsum(size)
         pick = np.arange(end_at[-1]) + np.repeat(self.at[rows] - (end_at - size), size)

@@ -26,12 +26,15 @@ MAGIC = b"CLM1"
 HEADER = struct.Struct("<4sIQIII")
 LANE_IDS, MAX_LANES = 1024, 4096
 #: Order-2 slots; a slot holds an id and, in the low 3 bits, its confidence.
-ORDER2_BITS = 20
+ORDER2_BITS = 18
 CONF = 7
+#: Steps between two counts of the order-0 shares.
+ORDER0_STEPS = 4
 #: Weight of a new hit in the mix, and the total at which the counts of a state are halved.
 MIX_STEP, MIX_LIMIT = 24, 1 << 16
 U = np.uint64
 LOW32, SHIFT32 = U(0xFFFFFFFF), U(32)
+K1, K2 = np.uint32(2654435761), np.uint32(2246822519)
 
 
 class CorruptBlock(ValueError):
@@ -40,30 +43,37 @@ class CorruptBlock(ValueError):
 
 class Model:
     def __init__(self, alphabet: int, n: int):
-        self.alphabet = alphabet
         self.freq = np.ones(alphabet, np.int64)
         self.step0 = max(1, min(24, (1 << 30) // max(n, 1)))
         self.slot1 = np.zeros(alphabet, np.int32)
         self.slot2 = np.zeros(1 << ORDER2_BITS, np.int32)
         self.mix = np.tile(np.array([2, 1, 4], np.int64), ((CONF + 1) * (CONF + 1) * 2, 1))
-
-    def predict(self, p1: np.ndarray, p2: np.ndarray):
-        h = ((p2 * 2654435761 + p1 * 40503 + (p1 >> 7)) >> 3) & ((1 << ORDER2_BITS) - 1)
+        #: where each id's share of order 0 begins, taken anew every ORDER0_STEPS steps, and the shares of the mix
+        self.cum = np.zeros(alphabet + 1, U)
+        self.edges = np.zeros((len(self.mix), 4), U)
+
+    def predict(self, t: int, p1: np.ndarray, p2: np.ndarray):
+        """Slots, their contents, the two predicted ids and the state of the mix, for step t."""
+        if t % ORDER0_STEPS == 0:
+            np.cumsum(self.freq, out=self.cum[1:].view(np.int64))
+        np.cumsum(self.mix, 1, out=self.edges[:, 1:].view(np.int64))
+        h = ((p2.view(np.uint32) * K2) ^ (p1.view(np.uint32) * K1)) >> np.uint32(32 - ORDER2_BITS)
         s2, s1 = self.slot2[h], self.slot1[p1]
         q2, q1 = s2 >> 3, s1 >> 3
-        state = ((s2 & CONF) * (CONF + 1) + (s1 & CONF)) * 2 + (q1 == q2)
+        state = ((s2 & CONF) << 4) | ((s1 & CONF) << 1) | (q1 == q2)
         return h, s2, s1, q2, q1, state
 
     def learn(self, v, p1, h, s2, s1, q2, q1, state, symbol, escaped) -> None:
-        counts = np.bincount(state * 3 + symbol, minlength=self.mix.size).reshape(self.mix.shape)
-        self.mix += counts * MIX_STEP
+        self.mix += np.bincount(state * 3 + symbol, minlength=self.mix.size).reshape(self.mix.shape) * MIX_STEP
         full = self.mix.sum(1) > MIX_LIMIT
         if full.any():
             self.mix[full] = (self.mix[full] >> 1) | 1
-        self.freq += np.bincount(escaped, minlength=self.alphabet) * self.step0
-        for slots, at, old, guess in ((self.slot2, h, s2, q2), (self.slot1, p1, s1, q1)):
+        np.add.at(self.freq, escaped, self.step0)
+        fresh = (v << 3) | 1
+        for slots, at, old, hit in ((self.slot2, h, s2, q2 == v), (self.slot1, p1, s1, q1 == v)):
             conf = old & CONF
-            slots[at] = np.where(guess == v, guess * 8 + np.minimum(conf + 1, CONF), np.where(conf > 0, old - 1, v * 8 + 1))
+            new = np.where(conf > 0, old - 1, fresh)
+            slots[at] = np.where(hit, old + (conf < CONF), new)
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -82,7 +92,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     lanes, steps = _lanes(n) if n else (0, 0)
     if not n:
         return _pack(b"", n, alphabet, lanes, steps)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     tail = n - (lanes - 1) * steps
@@ -91,12 +101,13 @@ def encode_block(ids: np.ndarray) -> bytes:
     sent = np.zeros(lanes, np.int64)
     lanes_out, digits_out, carry_lane, carry_at = [], [], [], []
 
-    def put(at, lo, fr, tot) -> None:
-        """Code one symbol in the lanes ``at`` (a slice or indices)."""
-        r = rng[at] // tot.astype(U)
-        new = low[at] + lo.astype(U) * r
-        carry = np.flatnonzero(new < low[at])
-        rg = fr.astype(U) * r
+    def put(at, lo, hi, tot) -> None:
+        """Code one symbol in the lanes ``at`` (a slice or indices): its share of tot is [lo, hi)."""
+        r = rng[at] // tot
+        old = low[at]
+        new = old + lo * r
+        rg = (hi - lo) * r
+        carry = np.flatnonzero(new < old)
         if len(carry):
             lane = carry if isinstance(at, slice) else at[carry]
             carry_lane.append(lane)
@@ -111,24 +122,20 @@ def encode_block(ids: np.ndarray) -> bytes:
             rg[out] <<= SHIFT32
         low[at], rng[at] = new, rg
 
-    p1 = p2 = np.zeros(lanes, np.int64)
+    p1 = p2 = np.zeros(lanes, np.int32)
     for t in range(steps):
         a = lanes if t < tail else lanes - 1
         v, p1, p2 = grid[t, :a], p1[:a], p2[:a]
-        h, s2, s1, q2, q1, state = m.predict(p1, p2)
-        symbol = np.where(v == q2, 0, np.where(v == q1, 1, 2))
-        w = m.mix[state]
-        ends = np.cumsum(w, 1)
-        pick = np.arange(a)
-        fr = w[pick, symbol]
-        put(slice(0, a), ends[pick, symbol] - fr, fr, ends[:, 2])
+        h, s2, s1, q2, q1, state = m.predict(t, p1, p2)
+        symbol = np.where(v == q2, 0, 2 - (v == q1))
+        at = state * 4 + symbol
+        edges = m.edges.ravel()
+        put(slice(0, a), edges[at], edges[at + 1], edges[state * 4 + 3])
         esc = np.flatnonzero(symbol == 2)
+        x = v[esc]
         if len(esc):
-            cum = np.cumsum(m.freq)
-            x = v[esc]
-            fr = m.freq[x]
-            put(esc, cum[x] - fr, fr, np.full(len(esc), cum[-1]))
-        m.learn(v, p1, h, s2, s1, q2, q1, state, symbol, v[esc])
+            put(esc, m.cum[x], m.cum[x + 1], m.cum[-1])
+        m.learn(v, p1, h, s2, s1, q2, q1, state, symbol, x)
         p1, p2 = v, p1
     lane = np.concatenate([*lanes_out, np.repeat(np.arange(lanes), 2)])
     digit = np.concatenate([*digits_out, np.stack([low >> SHIFT32, low & LOW32], 1).ravel()])
@@ -166,12 +173,12 @@ def decode_block(block: bytes) -> np.ndarray:
     at += 2
     rng = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
     m = Model(alphabet, n)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     tail = n - (lanes - 1) * steps
 
-    def take(where, r, lo, fr) -> None:
-        val = value[where] - lo.astype(U) * r
-        rg = fr.astype(U) * r
+    def take(where, r, lo, hi) -> None:
+        val = value[where] - lo * r
+        rg = (hi - lo) * r
         out = np.flatnonzero(rg <= LOW32)
         if len(out):
             lane = out if isinstance(where, slice) else where[out]
@@ -180,30 +187,28 @@ def decode_block(block: bytes) -> np.ndarray:
             rg[out] <<= SHIFT32
         value[where], rng[where] = val, rg
 
-    p1 = p2 = np.zeros(lanes, np.int64)
+    p1 = p2 = np.zeros(lanes, np.int32)
     for t in range(steps):
         a = lanes if t < tail else lanes - 1
         p1, p2 = p1[:a], p2[:a]
-        h, s2, s1, q2, q1, state = m.predict(p1, p2)
-        w = m.mix[state]
-        ends = np.cumsum(w, 1)
-        r = rng[:a] // ends[:, 2].astype(U)
-        x = (value[:a] // r).astype(np.int64)
-        symbol = (x >= ends[:, 0]).astype(np.int64) + (x >= ends[:, 1])
-        pick = np.arange(a)
-        fr = w[pick, symbol]
-        take(slice(0, a), r, ends[pick, symbol] - fr, fr)
-        v = np.where(symbol == 0, q2, q1).astype(np.int64)
+        h, s2, s1, q2, q1, state = m.predict(t, p1, p2)
+        edges = m.edges.ravel()
+        four = state * 4
+        r = rng[:a] // edges[four + 3]
+        symbol = (value[:a] >= r * edges[four + 1]).astype(np.int32) + (value[:a] >= r * edges[four + 2])
+        take(slice(0, a), r, edges[four + symbol], edges[four + symbol + 1])
+        v = np.where(symbol == 0, q2, q1)
         esc = np.flatnonzero(symbol == 2)
+        y = v[:0]
         if len(esc):
-            cum = np.cumsum(m.freq)
-            r = rng[esc] // U(cum[-1])
-            x = np.minimum((value[esc] // r).astype(np.int64), cum[-1] - 1)
-            y = np.searchsorted(cum, x, "right")
-            fr = m.freq[y]
-            take(esc, r, cum[y] - fr, fr)
+            r = rng[esc] // m.cum[-1]
+            x = np.minimum(value[esc] // r, m.cum[-1] - U(1))
+            order = np.argsort(x)  # the search is faster over sorted values
+            y = np.empty(len(x), np.int32)
+            y[order] = np.searchsorted(m.cum, x[order], "right") - 1
+            take(esc, r, m.cum[y], m.cum[y + 1])
             v[esc] = y
-        m.learn(v, p1, h, s2, s1, q2, q1, state, symbol, v[esc])
+        m.learn(v, p1, h, s2, s1, q2, q1, state, symbol, y)
         grid[t, :a] = v
         p1, p2 = v, p1
-    return grid.T.ravel()[:n]
+    return grid.T.ravel()[:n].astype(np.int64)
