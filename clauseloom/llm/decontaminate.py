@@ -148,5 +148,6 @@ def digest(found: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of a test item occurs, with their columns."""
-    return occurrences(docs, benchmark).where(F.size("hits") == 0).select(*docs.columns)
-
+    own = [f"__own_{c}" if c in ("n_words", "hits", "items") else c for c in docs.columns]
+    clean = occurrences(docs.toDF(*own), benchmark).where(F.size("hits") == 0)
+    return clean.select(*(F.col(f"`{c}`").alias(name) for c, name in zip(own, docs.columns, strict=True)))

@@ -136,6 +136,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     doc_id, as a number from 0 to 1, is below the rest. With floor 1 every document stays at least once."""
     found, _ = rates(docs, labelled, targets, floor)
     u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    copies = found.select(F.col("doc_id").alias("_id"), (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias("_copies"))
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = found.select(F.col("doc_id").alias("__mix_id"), (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias("__mix_copies"))
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+    return joined.withColumn("__mix_one", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)

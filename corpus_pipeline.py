@@ -20,7 +20,7 @@ LEAST_RATE = 1.0
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose toxicity score is under ``TOXIC``; the machine learns from the labelled documents of docs."""
     machine = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, machine, "_score").where(F.col("_score") < TOXIC).select(*docs.columns)
+    return toxicity.scored(docs, machine, "__toxicity").where(F.col("__toxicity") < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
