@@ -28,6 +28,11 @@ def audit_tokens(text) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit("[A-Za-z0-9$%]+"), F.lit(0)), F.lower)
 
 
+def strip(text) -> Column:
+    """Without white space at the ends, also no-break spaces."""
+    return F.regexp_replace(_c(text), r"^[\s\x{a0}]+|[\s\x{a0}]+$", "")
+
+
 def squeeze(text) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"\s+", " "))

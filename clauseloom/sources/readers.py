@@ -63,7 +63,7 @@ def parsed_codes(raw: DataFrame) -> DataFrame:
     """code, system, descriptor, synonyms from raw code rows (code, system, descriptor, synonyms, ordinal): codes are
     normalised, blank ones go, the last of equal ones stays, a missing system follows from the code's form."""
     code = T.normalize_code(F.regexp_replace("code", r"^\x{feff}", ""))
-    syn = F.filter(F.transform(F.split(F.coalesce("synonyms", F.lit("")), r"\|"), F.trim), lambda s: s != "")
+    syn = F.filter(F.transform(F.split(F.coalesce("synonyms", F.lit("")), r"\|"), T.strip), lambda s: s != "")
     x = raw.select(code.alias("code"), F.lower(F.coalesce(F.nullif(F.trim("system"), F.lit("")), T.classify_code("code"))).alias("system"), F.trim(F.coalesce("descriptor", F.lit(""))).alias("descriptor"), syn.alias("synonyms"), "ordinal").where("code <> ''")
     w = Window.partitionBy("code").orderBy(F.desc("ordinal"))
     return x.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "ordinal")
@@ -82,7 +82,7 @@ def codes(spark: SparkSession, path: str) -> DataFrame:
 def cases(spark: SparkSession, path: str) -> DataFrame:
     """Cases from CSV: rows with a code; synonyms are split at pipes, semicolons, commas and line breaks."""
     raw = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True, escape='"').where(F.trim(F.coalesce("code", F.lit(""))) != "")
-    split = F.filter(F.transform(F.split(F.coalesce("synonyms", F.lit("")), r"[|;,\n]"), F.trim), lambda s: s != "")
+    split = F.filter(F.transform(F.split(F.coalesce("synonyms", F.lit("")), r"[|;,\n]"), T.strip), lambda s: s != "")
     return raw.withColumn("synonyms", split)
 
 
