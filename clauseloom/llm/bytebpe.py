@@ -21,7 +21,7 @@ SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Code points with the White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces kept in the table; beyond it the table starts anew.
-TABLE_PIECES = 400_000
+TABLE_PIECES = 1_200_000
 LONG_PIECE = 512
 #: Odd bases of the two hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -49,7 +49,7 @@ def powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def piece_hash(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """A polynomial hash of each piece, from running sums over all code points."""
-    up, down = powers(base, max(21, int(len(cp)).bit_length()))
+    up, down = powers(base, max(20, int(len(cp)).bit_length()))
     run = np.zeros(len(cp) + 1, np.uint64)
     np.cumsum((cp + np.uint64(1)) * up[: len(cp)], dtype=np.uint64, out=run[1:])
     return (run[ends] - run[starts]) * down[starts]
@@ -175,9 +175,9 @@ class PieceEncoder:
         of_text = np.searchsorted(bounds, starts, "right") - 1
         counts = np.bincount(of_text, size, len(texts)).astype(np.int64)
         if not spans:
-            return self.ids[pick].astype(np.int64), counts, None, None
+            return self.ids[pick], counts, None, None
         base = np.repeat(starts - bounds[of_text], size)
-        return self.ids[pick].astype(np.int64), counts, base + self.lo[pick], base + self.hi[pick]
+        return self.ids[pick], counts, base + self.lo[pick], base + self.hi[pick]
 
 
 @functools.lru_cache(2)

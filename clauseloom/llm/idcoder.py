@@ -84,7 +84,7 @@ def _lanes(n: int) -> tuple[int, int]:
 
 def encode_block(ids: np.ndarray) -> bytes:
     """The block of these ids (non-negative, below 2^28)."""
-    ids = np.ascontiguousarray(ids, np.int64)
+    ids = np.asarray(ids)
     n = len(ids)
     if n and (ids.min() < 0 or ids.max() >= 1 << 28):
         raise ValueError("ids lie in 0 to 2^28 - 1")
@@ -115,8 +115,8 @@ def encode_block(ids: np.ndarray) -> bytes:
         out = np.flatnonzero(rg <= LOW32)
         if len(out):
             lane = out if isinstance(at, slice) else at[out]
-            lanes_out.append(lane)
-            digits_out.append(new[out] >> SHIFT32)
+            lanes_out.append(lane.astype(np.int16))
+            digits_out.append((new[out] >> SHIFT32).astype(np.uint32))
             sent[lane] += 1
             new[out] <<= SHIFT32
             rg[out] <<= SHIFT32
@@ -137,9 +137,9 @@ def encode_block(ids: np.ndarray) -> bytes:
             put(esc, m.cum[x], m.cum[x + 1], m.cum[-1])
         m.learn(v, p1, h, s2, s1, q2, q1, state, symbol, x)
         p1, p2 = v, p1
-    lane = np.concatenate([*lanes_out, np.repeat(np.arange(lanes), 2)])
-    digit = np.concatenate([*digits_out, np.stack([low >> SHIFT32, low & LOW32], 1).ravel()])
-    digit = digit[np.argsort(lane, kind="stable")]
+    lane = np.concatenate([*lanes_out, np.repeat(np.arange(lanes, dtype=np.int16), 2)])
+    digit = np.concatenate([*digits_out, np.stack([low >> SHIFT32, low & LOW32], 1).ravel().astype(np.uint32)])
+    digit = digit[np.argsort(lane, kind="stable")].astype(U)
     sizes = sent + 2
     if carry_lane:
         first = np.cumsum(sizes) - sizes
@@ -164,7 +164,7 @@ def decode_block(block: bytes) -> np.ndarray:
     if magic != MAGIC or crc != zlib.crc32(block[8:]):
         raise CorruptBlock("the checksum does not fit")
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     sizes = np.frombuffer(block, "<u4", lanes, HEADER.size).astype(np.int64)
     digit = np.frombuffer(block, "<u4", offset=HEADER.size + 4 * lanes).astype(U)
     digit = np.append(digit, U(0))
@@ -211,4 +211,4 @@ def decode_block(block: bytes) -> np.ndarray:
         m.learn(v, p1, h, s2, s1, q2, q1, state, symbol, y)
         grid[t, :a] = v
         p1, p2 = v, p1
-    return grid.T.ravel()[:n].astype(np.int64)
+    return grid.T.ravel()[:n]
