@@ -32,8 +32,8 @@ TARGETS = WORDS + CLASSES + 1
 END, PAD = TARGETS - 1, TARGETS
 HEAD, HEAD_BYTES = 1 << 19, 64
 NOISE, BATCH, RATE = 48, 1024, 0.08
-#: Documents of the driver's first pass: those with the smallest hashes, and characters of them in all.
-WARM_DOCS, WARM_CHARS = 600, 4_000_000
+#: Documents of the driver's first pass (those with the smallest hashes of their ids) and their characters, at most.
+WARM_DOCS, WARM_CHARS = 600, 6_000_000
 ADD = 0.1
 TABLE_WORDS = 300_000
 
@@ -69,17 +69,17 @@ class Counts:
 
 
 class Codes(dict):
-    """word -> rank among the head words, or -1 - target for the others; others are remembered in a bounded table."""
+    """word -> rank among the head words, or -1 - target for the others; looked-up words are kept in a bounded table."""
 
     def __init__(self, rank: dict[bytes, int]):
-        super().__init__(rank)
+        super().__init__()
         self.rank = rank
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= len(self.rank) + TABLE_WORDS:
+        if len(self) >= TABLE_WORDS:
             self.clear()
-            self.update(self.rank)
-        code = self[word] = -1 - class_of(word)
+        code = self.rank.get(word)
+        code = self[word] = -1 - class_of(word) if code is None else code
         return code
 
 
@@ -104,7 +104,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def gather(counts: DataFrame) -> Counts:
     """The head words and the classes' sums; what reaches the driver is bounded by HEAD and CLASSES."""
     words = counts.where("length(word) > 0 and c > 0")
-    best = words.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    # the least count of a head word, from a histogram of some hundred steps: no task orders the words
+    short = words.where(F.length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("c") * 16).cast("int"))
+    room, least = HEAD, None
+    for step, n in sorted(((r["step"], r["n"]) for r in short.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        if n > room:
+            break
+        room, least = room - n, step
+    best = [] if least is None else short.where(F.col("step") >= least).select("word", "c").collect()
+    best.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     rank = {bytes(r["word"]): i for i, r in enumerate(best)}
     ends = counts.where("length(word) = 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()["c"]
     byte = lambda i: F.conv(F.hex(F.substring("word", i, 1)), 16, 10).cast("int")
@@ -214,11 +222,10 @@ def fit(docs: DataFrame, counts: Counts) -> list[np.ndarray]:
     head_class = np.array([class_of(w) for w in counts.rank], np.int32)
     unigram = counts.unigram()
     text = F.col("text").cast("string")
-    short = docs.select("doc_id", text.alias("text")).where(F.length("text") <= WARM_CHARS // 10)
-    warm, room = [], WARM_CHARS
-    for row in short.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(WARM_DOCS).collect():
-        if (room := room - len(row["text"])) >= 0:
-            warm.append(row["text"])
+    short = docs.select("doc_id", text.alias("text")).where(F.length("text") <= WARM_CHARS // WARM_DOCS)
+    # at most WARM_DOCS ids, and then that many short texts
+    ids = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS)
+    warm = sorted({r["text"] for r in short.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()})
     first = Trainer(start(counts), unigram, 1)
     code, begin, _ = coded(warm, Codes(counts.rank))
     if warm:
