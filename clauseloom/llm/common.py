@@ -28,11 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+def staged(df: DataFrame, label: str, codec: str = "none", narrow: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Hashes, counts and coded ids gain nothing from a codec, and codecs hold memory outside the heap for each open column;
+    tables with texts name one. ``narrow`` is for tables of numbers behind a shuffle: two files for each core, not one for
+    each partition, since stores dislike many small files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/clauseloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +59,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(values: list, limit: int = 2_000_000):
+def text_slices(values: list, limit: int = 1_000_000):
     """(start, stop) over a list of texts so that a slice has at most ``limit`` characters, or one text."""
     start = size = 0
     for i, v in enumerate(values):

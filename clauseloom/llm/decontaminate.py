@@ -79,7 +79,7 @@ def passes(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> list[list[tupl
     if size <= pass_bytes:
         return [[(r["item"], r["text"]) for r in items.collect()]]
     n = 2 * int(-(-size // pass_bytes))
-    dealt = staged(items.withColumn("deal", F.pmod(F.xxhash64("item"), F.lit(n))), "items")
+    dealt = staged(items.withColumn("deal", F.pmod(F.xxhash64("item"), F.lit(n))), "items", narrow=True)
     return [[(r["item"], r["text"]) for r in dealt.where(F.col("deal") == k).collect()] for k in range(n)]
 
 
@@ -92,7 +92,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BY
     """
     spark = docs.sparkSession
     workers_import(spark)
-    out = docs.drop("n_words", "hits", "items")
+    out = docs.drop("n_words", "hits", "items", narrow=True)
     groups = passes(benchmark, pass_bytes)
     kept = [f for f in out.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -108,11 +108,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BY
                     spans, items = find(w)
                     if more:
                         spans = _merge(spans + [(x["a"], x["b"]) for x in batch.column("hits")[i].as_py()])
-                        items = items.union(batch.column("items")[i].as_py())
+                        items = items.union(batch.column("items", narrow=True)[i].as_py())
                     n_words.append(len(w))
                     hits.append([{"a": a, "b": b} for a, b in spans])
                     found.append(sorted(items))
-                cols = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name not in ("n_words", "hits", "items")]
+                cols = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name not in ("n_words", "hits", "items", narrow=True)]
                 cols += [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in kept] + ["n_words", "hits", "items"])
 
@@ -140,7 +140,7 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id",
         "n_words",
         F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"]).alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
+        F.size("items", narrow=True).cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
@@ -148,6 +148,6 @@ def digest(found: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of a test item occurs, with their columns."""
-    own = [f"__own_{c}" if c in ("n_words", "hits", "items") else c for c in docs.columns]
+    own = [f"__own_{c}" if c in ("n_words", "hits", "items", narrow=True) else c for c in docs.columns]
     clean = occurrences(docs.toDF(*own), benchmark).where(F.size("hits") == 0)
     return clean.select(*(F.col(f"`{c}`").alias(name) for c, name in zip(own, docs.columns, strict=True)))

@@ -22,6 +22,8 @@ SAMPLE_ROWS = 20_000
 #: A document's evidence counts as that of so many words at most; naive Bayes is too sure of long texts.
 EVIDENCE_WORDS = 40.0
 STEPS = 24
+#: The steps end when every domain's expected tokens are this near to the wanted ones, as a share of the available.
+CLOSE = 1e-4
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -51,7 +53,7 @@ class Classifier:
         bounded = labelled.where("domain is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
         seen = docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id").select("domain", F.explode(words(F.col("text"))).alias("word"))
         # at most BUCKETS rows for each domain
-        counts = staged(seen.groupBy("domain", place(F.col("word")).alias("place")).agg(F.count(F.lit(1)).alias("c")), "mixing-counts")
+        counts = staged(seen.groupBy("domain", place(F.col("word")).alias("place")).agg(F.count(F.lit(1)).alias("c")), "mixing-counts", narrow=True)
         prior = bounded.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()
         total = {r["domain"]: r["c"] for r in counts.groupBy("domain").agg(F.sum("c").alias("c")).collect()}
         self.domains = sorted(r["domain"] for r in prior)
@@ -59,7 +61,7 @@ class Classifier:
         self.prior = {r["domain"]: (r["n"] + 1.0) / (n + len(prior)) for r in prior}
         each = [F.log((F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("c"))), F.lit(0)) + 0.5) / (total.get(d, 0) + 0.5 * BUCKETS)).alias(f"l{i}") for i, d in enumerate(self.domains)]
         empty = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("place"), F.lit("").alias("domain"), F.lit(0).cast("long").alias("c"))
-        self.table = staged(counts.select("place", "domain", "c").unionByName(empty).groupBy("place").agg(*each), "mixing-table") if self.domains else None
+        self.table = staged(counts.select("place", "domain", "c").unionByName(empty).groupBy("place").agg(*each), "mixing-table", narrow=True) if self.domains else None
 
     def posteriors(self, docs: DataFrame, key: str = "doc_id") -> DataFrame:
         """key, n_tokens (words) and one posterior p0, p1, ... for each domain; a text without words has the priors.
@@ -100,12 +102,12 @@ def fit_rates(members: DataFrame, targets: list[float], floor: float = 0.0, step
     expected = have
     for step in range(steps):
         residual = [(e - w) / h if h > 0 else 0.0 for e, w, h in zip(expected, want, have, strict=True)]
-        if max(abs(r) for r in residual) < 1e-9:
+        if max(abs(r) for r in residual) < CLOSE:
             break
         move = sum((F.lit(r) * F.col(f"p{i}") for i, r in enumerate(residual)), F.lit(0.0))
         rate = F.greatest(F.lit(floor), rate - move)
-        if step % 8 == 7:
-            members = staged(members.withColumn("rate", rate), "mixing-rates")
+        if step % 12 == 11:
+            members = staged(members.withColumn("rate", rate), "mixing-rates", narrow=True)
             rate = F.col("rate")
         got = members.agg(*(F.sum(F.col("n_tokens") * F.col(f"p{i}") * rate).alias(f"t{i}") for i in range(k))).first()
         expected = [float(x) for x in got]
@@ -122,7 +124,7 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
         plain = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
         return plain.withColumns({"domain": F.lit(None).cast("string"), "rate": F.lit(1.0)}), []
     k = len(model.domains)
-    members = staged(model.posteriors(docs), "mixing-members")
+    members = staged(model.posteriors(docs), "mixing-members", narrow=True)
     wanted = [1.0] * k if targets is None else [float(targets.get(d, 0.0)) for d in model.domains]
     rate, _, _, *held = fit_rates(members, wanted, floor)
     members = held[0] if held else members

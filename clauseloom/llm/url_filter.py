@@ -80,7 +80,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     that their domain lends them."""
     labelled = pages.join(outcomes, "page_id", "left")
     n, bad = F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
-    hosts = staged(labelled.groupBy("host", "domain", "suffix").agg(n, bad), "hosts")
+    hosts = staged(labelled.groupBy("host", "domain", "suffix").agg(n, bad), "hosts", narrow=True)
     total = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = total(hosts, "domain", "suffix")
     suffixes = total(hosts, "suffix")

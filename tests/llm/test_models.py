@@ -144,7 +144,10 @@ def test_rates_as_brute_force(spark, floor):
     want = share * (max(floor * have.sum(), *(floor * have / share)) if floor else have.sum())
     w = np.ones(len(ids))
     for _ in range(mixing.STEPS):
-        w = np.maximum(floor, w - p @ (((w * t) @ p - want) / have))
+        residual = ((w * t) @ p - want) / have
+        if np.abs(residual).max() < mixing.CLOSE:
+            break
+        w = np.maximum(floor, w - p @ residual)
     assert np.allclose([got[i].rate for i in ids], w)
     assert np.allclose((w * t) @ p, want, rtol=0.02)
     assert w.min() >= floor
