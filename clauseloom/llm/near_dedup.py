@@ -3,13 +3,13 @@
 A document's set holds the 64-bit hashes of its distinct five-word shingles. One permutation cuts the hash range into
 ``BINS`` bins; the least hash in a bin is the bin's minimum, and an empty bin borrows from the first non-empty bin on a
 probe path of its own (optimal densification). ``ROWS`` minima make a band: two sets with a similarity of 0.75 share no
-band with a probability of (1 - 0.75^4)^32 = 5e-6. Documents with equal sets are one class from the start.
+band with a probability of (1 - 0.75^6)^54 = 3e-5. Documents with equal sets are one class from the start.
 
 In each bucket one class is the hub, and edges go from the hub to the other classes: their number is linear in the
 bucket. The hub is the class whose buckets are largest (a text from which many copies were made meets each of them more
-often than they meet each other); a second star has a hub by hash. Edges are confirmed on full sets. Classes that share
-a bucket but are not yet in one component go through further rounds with other hubs, until a round finds no new link.
-Components come from min-label propagation with pointer jumping, in the shared folder.
+often than they meet each other). An edge whose minima, by one byte each, agree in fewer bins than a similarity of 0.75
+allows (by six standard deviations) goes; the others are confirmed on full sets. Classes that share a bucket but are not yet in one
+component go through further rounds with hubs by hash, until a round finds no new link. Components come from min-label propagation with pointer jumping, in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, workers_import
 
-SHINGLE, BINS, ROWS = 5, 128, 4
-BANDS = BINS // ROWS
+SHINGLE, ROWS, BANDS = 5, 6, 54
+BINS = ROWS * BANDS
 #: A link needs 100 * intersection >= LINK * union.
 LINK = 75
 TABLE_WORDS = 400_000
@@ -77,9 +77,8 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
     """The densified bin minima of non-empty sets, one row each."""
     sig = np.zeros((len(sets), BINS), U)
     full = np.zeros((len(sets), BINS), bool)
-    shift = U(64 - BINS.bit_length() + 1)
     for i, s in enumerate(sets):
-        b = (s >> shift).astype(np.int64)
+        b = (((s >> U(32)) * U(BINS)) >> U(32)).astype(np.int64)
         at = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
         sig[i, b[at]] = s[at]
         full[i, b[at]] = True
@@ -99,12 +98,13 @@ def bands(sig: np.ndarray) -> np.ndarray:
     parts = sig.reshape(len(sig), BANDS, ROWS)
     total = np.arange(BANDS, dtype=U)[None, :] * _MIX[0]
     for i in range(ROWS):
-        total = mix(total + parts[:, :, i] * _COEF[i])
+        total = mix(total + parts[:, :, i] * _COEF[i % SHINGLE])
     return total.view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), a and b (128 bits of the whole set; null for an empty one) and bands."""
+    """doc_id, n (set size), a and b (128 bits of the whole set; null for an empty one), bands, and low (a byte of each
+    bin's minimum)."""
     workers_import(docs.sparkSession)
 
     def sketch(batches):
@@ -114,17 +114,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 1000)
                 sets = [shingle_set(t.as_py(), hashes) for t in part.column(1)]
                 some = [i for i, s in enumerate(sets) if len(s)]
-                keys = bands(signature([sets[i] for i in some])) if some else np.zeros((0, BANDS), np.int64)
+                sig = signature([sets[i] for i in some])
+                keys = bands(sig)
+                low = mix(sig).astype(np.uint8)
                 own = {i: k for k, i in enumerate(some)}
                 a = [int(s.sum(dtype=U).view(np.int64)) if len(s) else None for s in sets]
                 b = [int(mix(s * _COEF[0]).sum(dtype=U).view(np.int64)) if len(s) else None for s in sets]
                 at = np.cumsum([0, *(BANDS if i in own else 0 for i in range(len(sets)))])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.ravel()))],
-                    names=["doc_id", "n", "a", "b", "bands"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.ravel())), pa.array([low[own[i]].tobytes() if i in own else None for i in range(len(sets))], pa.binary())],
+                    names=["doc_id", "n", "a", "b", "bands", "low"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc_id long, n long, a long, b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc_id long, n long, a long, b long, bands array<long>, low binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -137,7 +139,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.join(wanted.select("id"), "id", "left_semi").mapInArrow(make, "id long, items binary")
+    # always a shuffle, so that small and large inputs cost alike
+    return rows.hint("merge").join(wanted.select("id").hint("merge"), "id", "left_semi").mapInArrow(make, "id long, items binary")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,13 +165,13 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """v, label: the smallest vertex that each vertex of ``edges`` (u, v) can reach."""
-    both = staged(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = staged(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "labels")
+    both = staged(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", narrow=True)
+    labels = staged(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "labels", narrow=True)
     while True:
         near = both.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near"))
-        lower = staged(labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")), "lower")
+        lower = staged(labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")), "lower", narrow=True)
         up = lower.select(F.col("v").alias("label"), F.col("label").alias("top"))
-        jumped = staged(lower.join(up, "label").select("v", "old", F.col("top").alias("label")), "labels")
+        jumped = staged(lower.join(up, "label").select("v", "old", F.col("top").alias("label")), "labels", narrow=True)
         if not jumped.where("old <> label").limit(1).count():
             return jumped.select("v", "label")
         labels = jumped.select("v", "label")
@@ -182,23 +185,41 @@ def _stars(multi: DataFrame, hub_by) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
 
 
-def linked(multi: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, label for the classes of ``multi`` (bucket, id, n, pop) that have a link."""
-    multi = multi.withColumn("label", F.col("id"))
-    links, tried, turn = None, None, 0
+def likely(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose minima agree in as many bins as a similarity of 0.75 makes likely, less six deviations.
+    own: id, n, low."""
+
+    def compare(batches):
+        for batch in batches:
+            nu, nv = (batch.column(i).to_numpy() for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+            seen = (x == y).mean(1)
+            room = 6 * np.sqrt(0.1875 / np.minimum(np.minimum(nu, nv), BINS))
+            mask = pa.array(seen >= LINK / 100 - room)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
+
+    side = lambda k: own.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("low").alias(f"low{k}"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "lowu", "lowv").mapInArrow(compare, "u long, v long")
+
+
+def linked(multi: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, label for the classes that have a link. multi: bucket, id, n, pop; own: id, n, low."""
+    multi, links, turn = multi.withColumn("label", F.col("id")), None, 0
     while True:
-        if turn:
-            pairs = _stars(multi, F.xxhash64("bucket", "id", F.lit(turn))).distinct().join(tried, ["u", "v"], "left_anti")
-        else:
-            pairs = _stars(multi, F.col("pop")).unionByName(_stars(multi, F.xxhash64("bucket", "id", F.lit(0)))).distinct()
-        pairs = staged(pairs, "pairs")
+        pairs = _stars(multi, F.xxhash64("bucket", "id", F.lit(turn)) if turn else F.col("pop")).distinct()
+        pairs = staged(likely(pairs, own), "pairs", narrow=True)
+        if turn and not pairs.limit(1).count():
+            return found
         sets = staged(full_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "sets")
-        new = staged(confirmed(pairs, sets), "links")
-        if links is not None and not new.limit(1).count():
+        new = staged(confirmed(pairs, sets), "links", narrow=True)
+        if turn and not new.limit(1).count():
             return found
-        links, tried, turn = (new, pairs, 1) if links is None else (links.unionByName(new), tried.unionByName(pairs), turn + 1)
+        links, turn = new if links is None else links.unionByName(new), turn + 1
         found = components(links).withColumnRenamed("v", "id")
-        multi = staged(multi.drop("label").join(found, "id", "left").withColumn("label", F.coalesce("label", "id")), "multi")
+        labelled = multi.drop("label").join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        # buckets that lie in one component are done
+        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        multi = staged(labelled.join(open_, "bucket", "left_semi"), "multi", narrow=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -207,16 +228,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Words are cut at ASCII white space after A-Z are lower-cased. Documents without words (also null texts) link with
     nothing. A null doc_id stands for itself: its component_id is null and it is kept. Rows that repeat a doc_id with
     other texts take the smallest component of any of them. Other columns are not read."""
-    sketched = staged(sketches(docs), "sketches")
+    sketched = staged(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = sketched.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-    classes = staged(classes, "classes")
-    own = sketched.select(F.col("doc_id").alias("id"), "a", "b", "bands").join(classes, ["id", "a", "b"], "left_semi").join(classes.select("id", "a", "b", "n"), ["id", "a", "b"])
-    members = staged(own.select("id", "n", F.explode("bands").alias("bucket")), "members")
+    classes = staged(classes, "classes", narrow=True)
+    # one row for each class, also where rows repeat
+    rows = sketched.select(F.col("doc_id").alias("id"), "a", "b", "row").join(classes, ["id", "a", "b"], "left_semi").groupBy("a", "b").agg(F.min("row").alias("row"))
+    reps = staged(sketched.select(F.col("doc_id").alias("id"), "n", "bands", "low", "row").join(rows.select("row"), "row", "left_semi").drop("row"), "reps")
+    members = reps.select("id", "n", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = staged(members.join(sizes, "bucket"), "shared")
+    shared = staged(members.join(sizes, "bucket"), "shared", narrow=True)
     pop = shared.groupBy("id").agg(F.sum("size").alias("pop"))
-    multi = staged(shared.join(pop, "id").select("bucket", "id", "n", "pop"), "multi")
-    found = linked(multi, docs)
+    multi = shared.join(pop, "id").select("bucket", "id", "n", "pop")
+    found = linked(multi, reps.select("id", "n", "low"), docs)
     top = classes.join(found, "id", "left").select("a", "b", F.coalesce("label", "id").alias("component"))
     rows = sketched.select("doc_id", "n", "a", "b").join(top, ["a", "b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -225,5 +248,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group, with its columns."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
