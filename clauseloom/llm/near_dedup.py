@@ -8,8 +8,9 @@ band with a probability of (1 - 0.75^6)^54 = 3e-5. Documents with equal sets are
 In each bucket one class is the hub, and edges go from the hub to the other classes: their number is linear in the
 bucket. The hub is the class whose buckets are largest (a text from which many copies were made meets each of them more
 often than they meet each other). An edge whose minima, by one byte each, agree in fewer bins than a similarity of 0.75
-allows (by six standard deviations) goes; the others are confirmed on full sets. Classes that share a bucket but are not yet in one
-component go through further rounds with hubs by hash, until a round finds no new link. Components come from min-label propagation with pointer jumping, in the shared folder.
+allows (by six standard deviations) goes; the others are confirmed on full sets. Classes that share a bucket but are
+not yet in one component go through further rounds with hubs by hash, until a round finds no new link. Components
+come from contraction to the roots of parent trees, in the shared folder.
 """
 
 from __future__ import annotations
@@ -163,18 +164,31 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return with_u.select("u", "v", "items_u", "items_v").mapInArrow(compare, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """v, label: the smallest vertex that each vertex of ``edges`` (u, v) can reach."""
-    both = staged(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", narrow=True)
-    labels = staged(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "labels", narrow=True)
+def roots(parents: DataFrame) -> DataFrame:
+    """v, label with each vertex's last ancestor for parents (v, label, both vertices); each turn halves the way."""
     while True:
-        near = both.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near"))
-        lower = staged(labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")), "lower", narrow=True)
-        up = lower.select(F.col("v").alias("label"), F.col("label").alias("top"))
-        jumped = staged(lower.join(up, "label").select("v", "old", F.col("top").alias("label")), "labels", narrow=True)
+        up = parents.select(F.col("v").alias("label"), F.col("label").alias("top"))
+        jumped = staged(parents.join(up, "label").select("v", F.col("label").alias("old"), F.col("top").alias("label")), "roots", narrow=True)
         if not jumped.where("old <> label").limit(1).count():
             return jumped.select("v", "label")
-        labels = jumped.select("v", "label")
+        parents = jumped.select("v", "label")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """v, label: the smallest vertex that each vertex of ``edges`` (u, v) can reach.
+
+    In each step a vertex takes the smallest of itself and its neighbours as its parent; the edges are contracted to edges
+    between the roots of these trees, each once; steps end when none are left."""
+    rest, found = staged(edges.distinct(), "edges", narrow=True), None
+    while found is None or rest.limit(1).count():
+        ends = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tops = roots(staged(ends.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "parents", narrow=True))
+        up = lambda k: tops.select(F.col("v").alias(k), F.col("label").alias(f"p{k}"))  # noqa: B023, E731
+        moved = rest.join(up("u"), "u").join(up("v"), "v").where("pu <> pv")
+        rest = staged(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges", narrow=True)
+        step = tops.select(F.col("v").alias("label"), F.col("label").alias("top"))
+        found = tops if found is None else staged(found.join(step, "label", "left").select("v", F.coalesce("top", "label").alias("label")), "found", narrow=True)
+    return found
 
 
 def _stars(multi: DataFrame, hub_by) -> DataFrame:

@@ -75,3 +75,21 @@ def test_densified_signature_estimates_similarity():
         sig = nd.signature([x, y])
         hits.append((sig[0] == sig[1]).mean())
     assert abs(np.mean(hits) - 15 / 25) < 0.05
+
+
+def test_components_of_paths_stars_and_cycles(spark):
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(470, 540) if k != 500] + [(7, 9), (9, 8), (8, 7), (9, 8)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)]
+    edges = [(min(e), max(e)) for e in edges if e[0] != e[1]]
+    parent = {v: v for e in edges for v in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        parent[max(a, b)] = min(a, b)
+    got = nd.components(spark.createDataFrame(edges, "u long, v long"))
+    assert {r.v: r.label for r in got.collect()} == {v: find(v) for v in parent}
