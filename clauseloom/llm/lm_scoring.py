@@ -15,6 +15,7 @@ averaged by their tokens.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ WORDS, CLASSES, CONTEXT, DIM = 255, 256, 3, 16
 TARGETS = WORDS + CLASSES + 1
 END, PAD = TARGETS - 1, TARGETS
 HEAD, HEAD_BYTES = 1 << 19, 64
-NOISE, BATCH, RATE = 48, 1024, 0.08
+NOISE, BATCH, RATE = 48, 2048, 0.1
 #: Documents of the driver's first pass (those with the smallest hashes of their ids) and their characters, at most.
 WARM_DOCS, WARM_CHARS = 600, 6_000_000
 ADD = 0.1
@@ -198,15 +199,16 @@ class Trainer:
 
 
 def coded(texts: list, codes: Codes) -> tuple[np.ndarray, np.ndarray, list]:
-    """Codes of all tokens of the texts (END for the end, as a code beyond all ranks), where texts begin, their words."""
+    """Codes of all tokens of the texts (a code beyond all ranks for the end), where texts begin, all words in order."""
     said = [words_of(t) for t in texts]
     size = np.array([len(w) + 1 for w in said], np.int64)
     first = np.cumsum(size) - size
     out = np.full(int(size.sum()), 1 << 30, np.int64)
     inner = np.ones(len(out), bool)
     inner[first + size - 1] = False
-    out[inner] = np.fromiter((codes[x] for w in said for x in w), np.int64, len(out) - len(said))
-    return out, first, said
+    flat = list(itertools.chain.from_iterable(said))
+    out[inner] = np.fromiter(map(codes.__getitem__, flat), np.int64, len(flat))
+    return out, first, flat
 
 
 def targets_of(code: np.ndarray, head_class: np.ndarray) -> np.ndarray:
@@ -271,20 +273,22 @@ class Scorer:
         """log10 of the normalised probability of each target."""
         ctx, out = contexts(targets, first), np.empty(len(targets))
         q, b = np.ascontiguousarray(self.p[2].T), self.p[3]
-        for lo in range(0, len(targets), 4096):
-            at = slice(lo, lo + 4096)
-            scores = predicted(self.p, ctx[:, at]) @ q
+        ones, largest = np.ones(TARGETS, np.float32), np.sqrt((q * q).sum(0).max())
+        for lo in range(0, len(targets), 256):  # a block of scores stays in the cache
+            at = slice(lo, lo + 256)
+            h = predicted(self.p, ctx[:, at])
+            scores = h @ q
             scores += b
-            top = scores.max(1, keepdims=True)
-            scores -= top
+            if np.sqrt((h * h).sum(1).max()) * largest > 60:  # else no score is near the end of the range
+                scores -= scores.max(1, keepdims=True)
             own = scores[np.arange(len(scores)), targets[at]]
             np.exp(scores, out=scores)
-            out[at] = own - np.log(scores.sum(1))
+            out[at] = own - np.log(scores @ ones)
         return out / math.log(10)
 
     def score(self, texts: list):
         """For each text: n_tokens, known head tokens and ends, the base's and the model's sums without the counts of words
-        beyond the head, and those words' hashes."""
+        beyond the head, how many those are, and their hashes."""
         code, first, said = coded(texts, self.codes)
         targets = targets_of(code, self.head_class)
         lp = self.model(targets, first)
@@ -299,9 +303,11 @@ class Scorer:
         known[~head & ~tail] = self.counts.ends > 0
         size = np.diff(np.append(first, len(code)))
         add = lambda x: np.add.reduceat(x, first) if len(first) else x[:0]
-        rank = self.counts.rank
-        unknown = [[xxhash.xxh64_intdigest(x, 42) for x in w if x not in rank] if t else [] for w, t in zip(said, add(tail.astype(np.int64)).tolist(), strict=True)]
-        return size, add(known), add(base) - size * math.log10(self.counts.scale), add(lp), unknown
+        inner = np.ones(len(code), bool)
+        inner[first + size - 1] = False
+        at = np.flatnonzero(tail[inner]).tolist()
+        hashes = np.array([xxhash.xxh64_intdigest(said[i], 42) for i in at], np.uint64).view(np.int64)
+        return size, add(known), add(base) - size * math.log10(self.counts.scale), add(lp), add(tail.astype(np.int64)), hashes
 
 
 def scores(docs: DataFrame, trains: Column | None = None) -> DataFrame:
@@ -324,9 +330,8 @@ def scores(docs: DataFrame, trains: Column | None = None) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo in range(0, len(texts), 500):
-                size, known, base, lp, unknown = scorer.score(texts[lo : lo + 500])
-                at = np.cumsum([0, *map(len, unknown)])
-                flat = np.array([x for w in unknown for x in w], np.uint64).view(np.int64)
+                size, known, base, lp, n_tail, flat = scorer.score(texts[lo : lo + 500])
+                at = np.append(0, np.cumsum(n_tail))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(lp), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["doc_id", "n_tokens", "known", "base", "lp", "tail"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
