@@ -9,8 +9,9 @@ In each bucket one class is the hub, and edges go from the hub to the other clas
 bucket. The hub is the class whose buckets are largest (a text from which many copies were made meets each of them more
 often than they meet each other). An edge whose minima, by one byte each, agree in fewer bins than a similarity of 0.75
 allows (by six standard deviations) goes; the others are confirmed on full sets. Classes that share a bucket but are
-not yet in one component go through further rounds with hubs by hash, until a round finds no new link. Components
-come from contraction to the roots of parent trees, in the shared folder.
+not yet in one component go through another round with hubs by hash. The buckets that then still hold several
+components are cut into blocks, and every pair of classes of different components is compared, block against block: the
+workers hold the pairs, and only a spanning forest of the links leaves them. Components come from contraction to the roots of parent trees, in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ BINS = ROWS * BANDS
 #: A link needs 100 * intersection >= LINK * union.
 LINK = 75
 TABLE_WORDS = 400_000
+#: Members of a block of an open bucket, about. Two sizes whose logarithms to SIZE_BASE differ by 1 cannot make a link.
+BLOCK, SIZE_BASE, COLUMNS, PAIRS = 256, 1.34, 4096, 20_000
+#: Rounds of hubs; they only spare work, since all pairs that stay open are compared after them.
+HUB_ROUNDS = 2
 U = np.uint64
 _MIX = [U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _COEF = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
@@ -216,24 +221,140 @@ def likely(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "lowu", "lowv").mapInArrow(compare, "u long, v long")
 
 
+def _by_key(batches):
+    """The rows of each run of equal keys (the first three columns)."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        keys = np.stack([held.column(i).to_numpy() for i in range(3)])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        for lo, hi in zip([0, *cuts[:-1]], cuts, strict=False):
+            yield held.slice(lo, hi - lo)
+        held = held.slice(cuts[-1]) if len(cuts) else held
+    if held is not None:
+        yield held
+
+
+def _may_link(label: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs i < j of different labels whose sizes allow the similarity."""
+    fit = (label[:, None] != label[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= LINK * np.maximum(n[:, None], n[None, :]))
+    return np.nonzero(np.triu(fit, 1))
+
+
+def block_pairs(multi: DataFrame) -> DataFrame:
+    """bucket, x, y, id, n, label: the members of each pair of blocks x <= y of a bucket that may hold a link.
+
+    A block holds one class of sizes; labels with many members have blocks of their own, so that members of one component
+    meet only the others and not each other."""
+    m = multi.select("bucket", "id", "n", "label", F.floor(F.log("n") / F.log(F.lit(SIZE_BASE))).alias("size"))
+    per = m.groupBy("bucket", "size", "label").agg(F.count(F.lit(1)).alias("c")).withColumn("own", F.col("c") >= BLOCK)
+    alone = per.where("own").select("bucket", "size", "label", F.col("c").alias("own"))
+    shared = per.where("not own").groupBy("bucket", "size").agg(F.sum("c").alias("rest"))
+    m = m.join(alone, ["bucket", "size", "label"], "left").join(shared, ["bucket", "size"], "left")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("own", "rest") / F.lit(BLOCK)))
+    # blocks whose hashes meet are one block, and lose nothing
+    m = staged(m.select("bucket", "id", "n", "label", F.xxhash64("size", F.when(F.col("own").isNotNull(), F.col("label")), F.col("own").isNotNull(), part).alias("block")), "blocks", narrow=True)
+    span = m.groupBy("bucket", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    side = lambda k: span.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "lo", "hi", "least", "most")))
+    fits = "block_x <= block_y and least(lo_x, lo_y) < greatest(hi_x, hi_y)"
+    near = f"100 * most_x >= {LINK} * least_y and 100 * most_y >= {LINK} * least_x"
+    met = side("x").join(side("y"), "bucket").where(f"{fits} and {near}").select("bucket", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
+    return met.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))).join(m, ["bucket", "block"]).select("bucket", "x", "y", "id", "n", "label")
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+
+def all_links(multi: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) that join all classes of ``multi`` (bucket, id, n, label) which have a link in a bucket they share and
+    different labels: every such pair is compared, by sketches and then by full sets."""
+
+    def sketched(batches):
+        for rows in _by_key(batches):
+            label, n = rows.column(5).to_numpy(), rows.column(4).to_numpy()
+            i, j = _may_link(label, n)
+            if not len(i):
+                continue
+            low = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint8).reshape(-1, BINS)
+            keep = np.zeros(len(n), bool)
+            for at in range(0, len(i), PAIRS):
+                x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+                room = 6 * np.sqrt(0.1875 / np.minimum(np.minimum(n[x], n[y]), BINS))
+                likely_ = (low[x] == low[y]).mean(1) >= LINK / 100 - room
+                keep[x[likely_]] = keep[y[likely_]] = True
+            if keep.any():
+                yield from rows.select(range(6)).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def compared(batches):
+        for rows in _by_key(batches):
+            ids, n, label = (rows.column(k).to_numpy() for k in (3, 4, 5))
+            i, j = _may_link(label, n)
+            sets = [np.frombuffer(z.as_buffer(), U) for z in rows.column(6)]
+            items, place, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            common = df > 1
+            column = np.cumsum(common) - 1
+            owner, place = owner[common[place]], column[place[common[place]]]
+            order = np.argsort(place, kind="stable")
+            owner, place = owner[order], place[order]
+            inter = np.zeros((len(sets), len(sets)), np.float64)
+            for lo in range(0, int(common.sum()), COLUMNS):
+                a, b = np.searchsorted(place, (lo, lo + COLUMNS))
+                part = np.zeros((len(sets), COLUMNS), np.float32)
+                part[owner[a:b], place[a:b] - lo] = 1
+                inter += part @ part.T
+            both = inter[i, j]
+            good = 100 * both >= LINK * (n[i] + n[j] - both)
+            links = np.zeros((len(sets), len(sets)), bool)
+            links[i[good], j[good]] = links[j[good], i[good]] = True
+            # a spanning forest says as much as all links
+            new, us, vs = links.any(1), [], []
+            while new.any():
+                queue = [int(np.flatnonzero(new)[0])]
+                new[queue[0]] = False
+                while queue:
+                    u = queue.pop()
+                    for v in np.flatnonzero(links[u] & new).tolist():
+                        new[v] = False
+                        us.append(min(ids[u], ids[v]))
+                        vs.append(max(ids[u], ids[v]))
+                        queue.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    key = "bucket long, x long, y long, id long, n long, label long"
+    rows = block_pairs(multi).join(own.select("id", "low"), "id").select("bucket", "x", "y", "id", "n", "label", "low")
+    rest = staged(_runs(rows).mapInArrow(sketched, key), "rest", narrow=True)
+    if not rest.limit(1).count():
+        return rest.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    sets = staged(full_sets(docs, rest.select("id").distinct()), "sets")
+    full = rest.join(sets, "id").select("bucket", "x", "y", "id", "n", "label", "items")
+    return staged(_runs(full).mapInArrow(compared, "u long, v long").distinct(), "links", narrow=True)
+
+
 def linked(multi: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
     """id, label for the classes that have a link. multi: bucket, id, n, pop; own: id, n, low."""
     multi, links, turn = multi.withColumn("label", F.col("id")), None, 0
-    while True:
+    while turn < HUB_ROUNDS:
         pairs = _stars(multi, F.xxhash64("bucket", "id", F.lit(turn)) if turn else F.col("pop")).distinct()
         pairs = staged(likely(pairs, own), "pairs", narrow=True)
         if turn and not pairs.limit(1).count():
-            return found
+            break
         sets = staged(full_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "sets")
         new = staged(confirmed(pairs, sets), "links", narrow=True)
         if turn and not new.limit(1).count():
-            return found
+            break
         links, turn = new if links is None else links.unionByName(new), turn + 1
         found = components(links).withColumnRenamed("v", "id")
         labelled = multi.drop("label").join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
         # buckets that lie in one component are done
         open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
         multi = staged(labelled.join(open_, "bucket", "left_semi"), "multi", narrow=True)
+    new = all_links(multi, own, docs)
+    return components(links.unionByName(new)).withColumnRenamed("v", "id") if new.limit(1).count() else found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -55,6 +55,39 @@ def test_as_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows)
 
 
+def family(rng, n):
+    """Texts on one template, none of them a hub: most pairs are under the threshold and a few over it."""
+    base, texts = words(rng, 120), []
+    for _ in range(n):
+        v = list(base)
+        for k in rng.sample(range(120), 3):
+            v[k] = f"x{rng.random()}"
+        texts.append(" ".join(v))
+    return list(enumerate(texts))
+
+
+def test_template_family_without_a_hub(spark):
+    rows = family(random.Random(12), 150)
+    want = brute(rows)
+    groups = {c for _, c, _ in want.values()}
+    assert 100 < len(groups) < 150
+    got = nd.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == want
+
+
+def test_links_between_members_that_are_never_hubs(spark):
+    """One bucket, one linked pair in it, no link to a hub: a round without links is not the end."""
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, 60)) for _ in range(60)]
+    texts[8] = texts[7] + " more"
+    docs = [(i, t) for i, t in enumerate(texts)]
+    sizes = {i: len(shingles(t)) for i, t in docs}
+    multi = spark.createDataFrame([(1, i, sizes[i], 60) for i, _ in docs], "bucket long, id long, n long, pop long")
+    own = spark.createDataFrame([(i, sizes[i], bytearray(nd.BINS)) for i, _ in docs], "id long, n long, low binary")
+    got = nd.linked(multi, own, spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r.id, r.label) for r in got.collect()} == {(7, 7), (8, 7)}
+
+
 def test_edges(spark):
     empty = nd.near_duplicates(spark.createDataFrame([], SCHEMA))
     assert empty.collect() == [] and empty.columns == ["doc_id", "n_shingles", "component_id", "kept"]
