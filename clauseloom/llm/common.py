@@ -28,20 +28,25 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def staged(df: DataFrame, label: str, codec: str = "none", narrow: bool = False) -> DataFrame:
+def staged(df: DataFrame, label: str, codec: str = "none", files: int = 0) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
 
     Hashes, counts and coded ids gain nothing from a codec, and codecs hold memory outside the heap for each open column;
-    tables with texts name one. ``narrow`` is for tables of numbers behind a shuffle: two files for each core, not one for
-    each partition, since stores dislike many small files."""
+    tables with texts name one. ``files`` is for tables of numbers behind a shuffle: so many files at most, since stores
+    dislike many small ones; ``pieces`` of a larger table gives a number that grows with the data."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/clauseloom/{label}-{uuid.uuid4().hex}"
-    if narrow:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+    if files:
+        df = df.coalesce(files)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(scan: DataFrame) -> int:
+    """The number of tasks that read ``scan`` (a table that is read, not computed), and two for each core at least."""
+    return max(2 * scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions())
+
+
 def workers_import(spark: SparkSession) -> None:
     """Python workers find this package where the driver found it, whatever the driver's working folder."""
     root = str(Path(__file__).resolve().parents[2])
@@ -55,11 +60,16 @@ def remainder(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % k
 
 
+def text_column(docs: DataFrame) -> int:
+    """Where the column ``text`` is, by Spark's rule for names (upper and lower case alike)."""
+    return [c.lower() for c in docs.columns].index("text")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(values: list, limit: int = 1_000_000):
+def text_slices(values: list, limit: int = 500_000):
     """(start, stop) over a list of texts so that a slice has at most ``limit`` characters, or one text."""
     start = size = 0
     for i, v in enumerate(values):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, workers_import
+from .common import pieces, staged, workers_import
 
 SHINGLE, ROWS, BANDS = 5, 6, 54
 BINS = ROWS * BANDS
@@ -31,6 +31,8 @@ LINK = 75
 TABLE_WORDS = 400_000
 #: Members of a block of an open bucket, about. Two sizes whose logarithms to SIZE_BASE differ by 1 cannot make a link.
 BLOCK, SIZE_BASE, COLUMNS, PAIRS = 256, 1.34, 4096, 20_000
+#: Blocks of 64 bits of a filter of ids, at most; members of a part of a large bucket, about.
+FILTER_BLOCKS, FAN = 1 << 19, 512
 #: Rounds of hubs; they only spare work, since all pairs that stay open are compared after them.
 HUB_ROUNDS = 2
 U = np.uint64
@@ -135,22 +137,46 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc_id long, n long, a long, b long, bands array<long>, low binary")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, items (the sorted shingle hashes as bytes) for the documents whose doc_id is an ``id`` of wanted."""
+def present(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``id`` is among ``ids``, and a few others: a Bloom filter of 64-bit blocks, so that a join by id does
+    not deal out all rows. The filter has ``FILTER_BLOCKS`` rows of 16 bytes at most, however many ids there are; beyond
+    some millions of ids more of the others pass, and the join that follows drops them."""
+    blocks = 1 << 10
+    while blocks < min(FILTER_BLOCKS, ids.count()):
+        blocks *= 2
+    h = F.xxhash64(F.lit("filter"), "id")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20 + 6 * k), F.lit(64)).cast("int"))
+    block, mask = F.pmod(h, F.lit(blocks)).cast("int"), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+    held = ids.select(block.alias("__block"), mask.alias("__mask")).groupBy("__block").agg(F.bit_or("__mask").alias("__held"))
+    marked = rows.withColumns({"__block": block, "__mask": mask})
+    return marked.join(F.broadcast(held), "__block").where(F.col("__held").bitwiseAND(F.col("__mask")) == F.col("__mask")).select(*rows.columns)
+
+
+def with_sets(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``keyed`` (id and other numbers) with items: the sorted shingle hashes of the document ``id``, as bytes.
+
+    Texts are dealt out, not sets: they are smaller. Always by a shuffle, so that small and large inputs cost alike."""
 
     def make(batches):
-        hashes = WordHashes()
+        hashes, last, items = WordHashes(), None, b""
         for batch in batches:
-            sets = [shingle_set(t.as_py(), hashes).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
+            out = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
+                text = t.as_py()
+                if (i, text) != last:
+                    last, items = (i, text), shingle_set(text, hashes).tobytes()
+                out.append(items)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "items"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    # always a shuffle, so that small and large inputs cost alike
-    return rows.hint("merge").join(wanted.select("id").hint("merge"), "id", "left_semi").mapInArrow(make, "id long, items binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = present(texts, keyed.select("id").distinct())
+    rest = [c for c in keyed.columns if c != "id"]
+    joined = keyed.hint("merge").join(texts.hint("merge"), "id").select("id", *rest, "text")
+    return joined.mapInArrow(make, ", ".join(f"{c} long" for c in ("id", *rest)) + ", items binary")
 
 
-def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (u, v) whose full sets reach the similarity."""
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (u, v), u < v, among the pairs (x, y, part): their full sets reach the similarity."""
 
     def compare(batches):
         for batch in batches:
@@ -164,61 +190,75 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
-    with_v = edges.join(sets.select(F.col("id").alias("v"), F.col("items").alias("items_v")), "v")
-    with_u = with_v.join(sets.select(F.col("id").alias("u"), F.col("items").alias("items_u")), "u")
-    return with_u.select("u", "v", "items_u", "items_v").mapInArrow(compare, "u long, v long")
+    near = with_sets(docs, pairs.select(F.col("x").alias("id"), "y", "part")).withColumnsRenamed({"id": "x", "items": "items_x"})
+    far = with_sets(docs, pairs.select(F.col("y").alias("id"), "part").distinct()).withColumnsRenamed({"id": "y", "items": "items_y"})
+    both = near.hint("merge").join(far.hint("merge"), ["y", "part"])
+    return both.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "items_x", "items_y").mapInArrow(compare, "u long, v long")
 
 
-def roots(parents: DataFrame) -> DataFrame:
+def roots(parents: DataFrame, files: int = 0) -> DataFrame:
     """v, label with each vertex's last ancestor for parents (v, label, both vertices); each turn halves the way."""
     while True:
         up = parents.select(F.col("v").alias("label"), F.col("label").alias("top"))
-        jumped = staged(parents.join(up, "label").select("v", F.col("label").alias("old"), F.col("top").alias("label")), "roots", narrow=True)
+        jumped = staged(parents.join(up, "label").select("v", F.col("label").alias("old"), F.col("top").alias("label")), "roots", files=files)
         if not jumped.where("old <> label").limit(1).count():
             return jumped.select("v", "label")
         parents = jumped.select("v", "label")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int = 0) -> DataFrame:
     """v, label: the smallest vertex that each vertex of ``edges`` (u, v) can reach.
 
     In each step a vertex takes the smallest of itself and its neighbours as its parent; the edges are contracted to edges
     between the roots of these trees, each once; steps end when none are left."""
-    rest, found = staged(edges.distinct(), "edges", narrow=True), None
+    rest, found = staged(edges.distinct(), "edges", files=files), None
     while found is None or rest.limit(1).count():
         ends = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        tops = roots(staged(ends.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "parents", narrow=True))
+        tops = roots(staged(ends.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "parents", files=files), files)
         up = lambda k: tops.select(F.col("v").alias(k), F.col("label").alias(f"p{k}"))  # noqa: B023, E731
         moved = rest.join(up("u"), "u").join(up("v"), "v").where("pu <> pv")
-        rest = staged(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges", narrow=True)
+        rest = staged(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges", files=files)
         step = tops.select(F.col("v").alias("label"), F.col("label").alias("top"))
-        found = tops if found is None else staged(found.join(step, "label", "left").select("v", F.coalesce("top", "label").alias("label")), "found", narrow=True)
+        found = tops if found is None else staged(found.join(step, "label", "left").select("v", F.coalesce("top", "label").alias("label")), "found", files=files)
     return found
 
 
 def _stars(multi: DataFrame, hub_by) -> DataFrame:
-    """Edges (u, v), u < v, from the hub of each bucket of ``multi`` (bucket, id, n, label) to those members that are not
-    yet in its component, as far as the set sizes allow the similarity."""
-    hubs = multi.groupBy("bucket").agg(F.max(F.struct(hub_by.alias("by"), "id", "n", "label")).alias("h")).select("bucket", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label"))
-    pairs = multi.join(hubs, "bucket").where("label <> hub_label").where(100 * F.least("n", "hub_n") >= LINK * F.greatest("n", "hub_n"))
-    return pairs.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
+    """Pairs (x, y, part) of a member x and the hub y of a bucket of ``multi`` (bucket, id, n, label, size) that are not yet
+    in one component, as far as the set sizes allow the similarity.
+
+    Large buckets are dealt out in parts of about ``FAN`` members: the hub goes to each part, and so it does later, when
+    pairs meet the hub's set (``part`` says where)."""
+    fan = F.ceil(F.col("size") / F.lit(FAN))
+    hubs = multi.groupBy("bucket").agg(F.max(F.struct(hub_by.alias("by"), "id", "n", "label", fan.alias("fan"))).alias("h"))
+    hubs = hubs.select("bucket", F.col("h.id").alias("y"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("h.fan") - 1)).alias("salt"))
+    rows = multi.withColumn("fan", fan).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("fan")))
+    pairs = rows.join(hubs, ["bucket", "salt"]).where("label <> hub_label").where(100 * F.least("n", "hub_n") >= LINK * F.greatest("n", "hub_n"))
+    once = pairs.groupBy(F.least("id", "y").alias("u"), F.greatest("id", "y").alias("v")).agg(F.min("id").alias("x"), F.max("fan").alias("fan"))
+    return once.select("x", F.when(F.col("x") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("y"), F.xxhash64("fan", F.pmod(F.xxhash64("x"), F.col("fan"))).alias("part"))
+
+
+def _agree(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether minima x and y, a byte each, of sets whose smaller one has n items agree in as many bins as a similarity
+    of 0.75 makes likely, less six deviations."""
+    return (x == y).mean(1) >= LINK / 100 - 6 * np.sqrt(0.1875 / np.minimum(n, BINS))
 
 
 def likely(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose minima agree in as many bins as a similarity of 0.75 makes likely, less six deviations.
-    own: id, n, low."""
+    """The pairs (x, y, part) whose minima agree as those of a link do. own: id, n, low."""
 
     def compare(batches):
         for batch in batches:
-            nu, nv = (batch.column(i).to_numpy() for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
-            seen = (x == y).mean(1)
-            room = 6 * np.sqrt(0.1875 / np.minimum(np.minimum(nu, nv), BINS))
-            mask = pa.array(seen >= LINK / 100 - room)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
+            nx, ny = (batch.column(i).to_numpy() for i in (3, 4))
+            low = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (5, 6)]
+            mask = pa.array(_agree(*low, np.minimum(nx, ny)))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(3)], names=["x", "y", "part"])
 
-    side = lambda k: own.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("low").alias(f"low{k}"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "lowu", "lowv").mapInArrow(compare, "u long, v long")
+    asked = present(own, pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
+    side = lambda k: asked.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("low").alias(f"low{k}")).hint("merge")
+    far = pairs.select("y", "part").distinct().join(side("y"), "y").hint("merge")
+    both = pairs.join(side("x"), "x").hint("merge").join(far, ["y", "part"])
+    return both.select("x", "y", "part", "nx", "ny", "lowx", "lowy").mapInArrow(compare, "x long, y long, part long")
 
 
 def _by_key(batches):
@@ -244,7 +284,7 @@ def _may_link(label: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.nonzero(np.triu(fit, 1))
 
 
-def block_pairs(multi: DataFrame) -> DataFrame:
+def block_pairs(multi: DataFrame, files: int = 0) -> DataFrame:
     """bucket, x, y, id, n, label: the members of each pair of blocks x <= y of a bucket that may hold a link.
 
     A block holds one class of sizes; labels with many members have blocks of their own, so that members of one component
@@ -256,7 +296,7 @@ def block_pairs(multi: DataFrame) -> DataFrame:
     m = m.join(alone, ["bucket", "size", "label"], "left").join(shared, ["bucket", "size"], "left")
     part = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("own", "rest") / F.lit(BLOCK)))
     # blocks whose hashes meet are one block, and lose nothing
-    m = staged(m.select("bucket", "id", "n", "label", F.xxhash64("size", F.when(F.col("own").isNotNull(), F.col("label")), F.col("own").isNotNull(), part).alias("block")), "blocks", narrow=True)
+    m = staged(m.select("bucket", "id", "n", "label", F.xxhash64("size", F.when(F.col("own").isNotNull(), F.col("label")), F.col("own").isNotNull(), part).alias("block")), "blocks", files=files)
     span = m.groupBy("bucket", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     side = lambda k: span.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "lo", "hi", "least", "most")))
     fits = "block_x <= block_y and least(lo_x, lo_y) < greatest(hi_x, hi_y)"
@@ -269,23 +309,27 @@ def _runs(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
 
-def all_links(multi: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
+def all_links(multi: DataFrame, own: DataFrame, docs: DataFrame, files: int = 0) -> DataFrame:
     """Links (u, v) that join all classes of ``multi`` (bucket, id, n, label) which have a link in a bucket they share and
-    different labels: every such pair is compared, by sketches and then by full sets."""
+    different labels: every such pair is compared, by sketches and then by full sets, in the first bucket it shares (that
+    bucket is open too, since its labels differ). own: id, n, low, keys."""
 
     def sketched(batches):
         for rows in _by_key(batches):
-            label, n = rows.column(5).to_numpy(), rows.column(4).to_numpy()
+            bucket, n, label = (rows.column(k).to_numpy() for k in (0, 4, 5))
             i, j = _may_link(label, n)
             if not len(i):
                 continue
             low = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint8).reshape(-1, BINS)
+            keys = rows.column(7).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            here = bucket[0].astype(np.int32)
             keep = np.zeros(len(n), bool)
             for at in range(0, len(i), PAIRS):
                 x, y = i[at : at + PAIRS], j[at : at + PAIRS]
-                room = 6 * np.sqrt(0.1875 / np.minimum(np.minimum(n[x], n[y]), BINS))
-                likely_ = (low[x] == low[y]).mean(1) >= LINK / 100 - room
-                keep[x[likely_]] = keep[y[likely_]] = True
+                first = keys[x, (keys[x] == keys[y]).argmax(1)] == here
+                x, y = x[first], y[first]
+                good = _agree(low[x], low[y], np.minimum(n[x], n[y]))
+                keep[x[good]] = keep[y[good]] = True
             if keep.any():
                 yield from rows.select(range(6)).filter(pa.array(keep)).combine_chunks().to_batches()
 
@@ -326,35 +370,35 @@ def all_links(multi: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     key = "bucket long, x long, y long, id long, n long, label long"
-    rows = block_pairs(multi).join(own.select("id", "low"), "id").select("bucket", "x", "y", "id", "n", "label", "low")
-    rest = staged(_runs(rows).mapInArrow(sketched, key), "rest", narrow=True)
+    sketch = present(own.select("id", "low", "keys"), multi.select("id").distinct())
+    rows = block_pairs(multi, files).hint("merge").join(sketch.hint("merge"), "id").select("bucket", "x", "y", "id", "n", "label", "low", "keys")
+    rest = staged(_runs(rows).mapInArrow(sketched, key), "rest", files=files)
     if not rest.limit(1).count():
         return rest.select(F.col("id").alias("u"), F.col("id").alias("v"))
-    sets = staged(full_sets(docs, rest.select("id").distinct()), "sets")
-    full = rest.join(sets, "id").select("bucket", "x", "y", "id", "n", "label", "items")
-    return staged(_runs(full).mapInArrow(compared, "u long, v long").distinct(), "links", narrow=True)
+    full = with_sets(docs, rest).select("bucket", "x", "y", "id", "n", "label", "items")
+    return staged(_runs(full).mapInArrow(compared, "u long, v long").distinct(), "links", files=files)
 
 
-def linked(multi: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, label for the classes that have a link. multi: bucket, id, n, pop; own: id, n, low."""
+def linked(multi: DataFrame, own: DataFrame, docs: DataFrame, files: int = 0) -> DataFrame:
+    """id, label for the classes that have a link. multi: bucket, id, n, pop, size; own: id, n, low, keys; docs: one row
+    for each text of a doc_id."""
     multi, links, turn = multi.withColumn("label", F.col("id")), None, 0
     while turn < HUB_ROUNDS:
-        pairs = _stars(multi, F.xxhash64("bucket", "id", F.lit(turn)) if turn else F.col("pop")).distinct()
-        pairs = staged(likely(pairs, own), "pairs", narrow=True)
+        pairs = staged(_stars(multi, F.xxhash64("bucket", "id", F.lit(turn)) if turn else F.col("pop")), "stars", files=files)
+        pairs = staged(likely(pairs, own), "pairs", files=files)
         if turn and not pairs.limit(1).count():
             break
-        sets = staged(full_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "sets")
-        new = staged(confirmed(pairs, sets), "links", narrow=True)
+        new = staged(confirmed(pairs, docs), "links", files=files)
         if turn and not new.limit(1).count():
             break
         links, turn = new if links is None else links.unionByName(new), turn + 1
-        found = components(links).withColumnRenamed("v", "id")
+        found = components(links, files).withColumnRenamed("v", "id")
         labelled = multi.drop("label").join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
         # buckets that lie in one component are done
         open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        multi = staged(labelled.join(open_, "bucket", "left_semi"), "multi", narrow=True)
-    new = all_links(multi, own, docs)
-    return components(links.unionByName(new)).withColumnRenamed("v", "id") if new.limit(1).count() else found
+        multi = staged(labelled.join(open_, "bucket", "left_semi"), "multi", files=files)
+    new = all_links(multi, own, docs, files)
+    return components(links.unionByName(new), files).withColumnRenamed("v", "id") if new.limit(1).count() else found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -362,19 +406,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Words are cut at ASCII white space after A-Z are lower-cased. Documents without words (also null texts) link with
     nothing. A null doc_id stands for itself: its component_id is null and it is kept. Rows that repeat a doc_id with
-    other texts take the smallest component of any of them. Other columns are not read."""
+    other texts take the smallest component of any of them. Texts are taken whole, however long. Other columns are not
+    read."""
     sketched = staged(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    files = pieces(sketched)
     classes = sketched.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-    classes = staged(classes, "classes", narrow=True)
+    classes = staged(classes, "classes", files=files)
     # one row for each class, also where rows repeat
     rows = sketched.select(F.col("doc_id").alias("id"), "a", "b", "row").join(classes, ["id", "a", "b"], "left_semi").groupBy("a", "b").agg(F.min("row").alias("row"))
     reps = staged(sketched.select(F.col("doc_id").alias("id"), "n", "bands", "low", "row").join(rows.select("row"), "row", "left_semi").drop("row"), "reps")
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = staged(members.join(sizes, "bucket"), "shared", narrow=True)
+    shared = staged(members.join(sizes, "bucket"), "shared", files=files)
     pop = shared.groupBy("id").agg(F.sum("size").alias("pop"))
-    multi = shared.join(pop, "id").select("bucket", "id", "n", "pop")
-    found = linked(multi, reps.select("id", "n", "low"), docs)
+    multi = staged(shared.join(pop, "id"), "members", files=files)
+    repeats = sketched.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    texts = docs.dropDuplicates(["doc_id", "text"]) if repeats else docs
+    keys = F.transform("bands", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+    found = linked(multi, reps.select("id", "n", "low", keys.alias("keys")), texts, files)
     top = classes.join(found, "id", "left").select("a", "b", F.coalesce("label", "id").alias("component"))
     rows = sketched.select("doc_id", "n", "a", "b").join(top, ["a", "b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -382,6 +431,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, with its columns."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One document of each group, with its columns. Rows with equal doc_id (or null) and equal text are one document and
+    stay once; rows of a kept doc_id with several texts stay once for each text."""
+    kept = staged(near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count(F.lit(1)).alias("__rows")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__kept_id"))
+    again = F.col("__kept_id").isNull() | (F.col("__rows") > 1)
+    if not kept.where(again).limit(1).count():
+        return docs.join(kept, same, "left_semi")
+    return docs.join(kept.where(~again), same, "left_semi").unionByName(docs.join(kept.where(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))

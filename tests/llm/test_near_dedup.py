@@ -82,8 +82,8 @@ def test_links_between_members_that_are_never_hubs(spark):
     texts[8] = texts[7] + " more"
     docs = [(i, t) for i, t in enumerate(texts)]
     sizes = {i: len(shingles(t)) for i, t in docs}
-    multi = spark.createDataFrame([(1, i, sizes[i], 60) for i, _ in docs], "bucket long, id long, n long, pop long")
-    own = spark.createDataFrame([(i, sizes[i], bytearray(nd.BINS)) for i, _ in docs], "id long, n long, low binary")
+    multi = spark.createDataFrame([(1, i, sizes[i], 60, 60) for i, _ in docs], "bucket long, id long, n long, pop long, size long")
+    own = spark.createDataFrame([(i, sizes[i], bytearray(nd.BINS), [1] * nd.BANDS) for i, _ in docs], "id long, n long, low binary, keys array<int>")
     got = nd.linked(multi, own, spark.createDataFrame(docs, "doc_id long, text string"))
     assert {(r.id, r.label) for r in got.collect()} == {(7, 7), (8, 7)}
 
@@ -94,10 +94,36 @@ def test_edges(spark):
     rows = [(None, "a b c d e f", None), (1, "a b c d e f", None), (1, "a b c d e f", None)]
     got = {(r.doc_id, r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(None, None, True), (1, 1, True)}
+    rows = [(1, "a b c d e f", "p"), (1, "a b c d e f", "q"), (2, "u", "r"), (None, "x", "s"), (None, "x", "t"), (3, "a b c d e f", "v"), (5, "k", None), (5, "l", None)]
+    once = [(r.doc_id, r.text) for r in nd.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(once, key=str) == sorted([(1, "a b c d e f"), (2, "u"), (None, "x"), (5, "k"), (5, "l")], key=str)
     kept = nd.deduplicated(spark.createDataFrame([(4, "a b c d e f", "p"), (2, "a b c d e f", "q"), (3, None, None)], SCHEMA))
     assert {(r.doc_id, r.text, r.n_shingles) for r in kept.collect()} == {(2, "a b c d e f", "q"), (3, None, None)}
 
 
+def test_very_long_text_and_parts_of_a_large_bucket(spark, monkeypatch):
+    """A text of 60,000 words and its near copy; a hub whose members are dealt out in parts."""
+    monkeypatch.setattr(nd, "FAN", 4)
+    rng = random.Random(21)
+    long = words(rng, 60_000)
+    base = words(rng, 150)
+    texts = [" ".join(long), " ".join(long[:-9000]), " ".join(base)]
+    for k in range(30):
+        v = list(base)
+        v[(5 * k) % 150] = f"x{k}"
+        texts.append(" ".join(v))
+    rows = list(enumerate(texts))
+    got = nd.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted((i, *x) for i, x in brute(rows).items())
+
+
+def test_filter_of_ids_keeps_all_that_are_asked_for(spark):
+    rows = spark.range(20_000)
+    asked = rows.where("id % 7 = 0")
+    got = {r.id for r in nd.present(rows, asked).collect()}
+    assert {i for i in range(0, 20_000, 7)} <= got and len(got) < 4000
+
+
 def test_densified_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 30, dtype=np.int64).astype(np.uint64)
