@@ -22,7 +22,10 @@ SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces kept in the table; beyond it the table starts anew.
 TABLE_PIECES = 1_200_000
-LONG_PIECE = 512
+#: Byte-level alphabets write printable bytes of Latin-1 as themselves and the others, in order, from U+0100 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = np.arange(256, dtype="<u4")
+BYTE_CHARS[sorted(set(range(256)) - set(PRINTABLE))] = 0x100 + np.arange(256 - len(PRINTABLE))
 #: Odd bases of the two hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -103,10 +106,21 @@ class PieceEncoder:
         self.ids, self.lo, self.hi = (np.zeros(0, np.int32) for _ in range(3))
 
     def _learn(self, pieces: list[str], checks: np.ndarray) -> None:
-        """Encode new pieces; their rows follow those in the table."""
+        """Encode new pieces; their rows follow those in the table. Where no spans are asked for, the library's model gets
+        the pieces as byte characters: they are cut already."""
+        flat = lambda rows: np.fromiter(itertools.chain.from_iterable(rows), np.int32)
+        if not self.spans:
+            cut = self.tokenizer.model.tokenize
+            raw = [p.encode() for p in pieces]
+            ends = np.cumsum([len(r) for r in raw]).tolist()
+            chars = BYTE_CHARS[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
+            ids = [[t.id for t in cut(chars[a:b])] for a, b in zip([0, *ends], ends, strict=False)]
+            self.checks = np.concatenate([self.checks, checks])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
+            self.ids = np.concatenate([self.ids, flat(ids)])
+            return
         found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
         sizes = np.array([len(e.ids) for e in found], np.int64)
-        flat = lambda rows: np.fromiter(itertools.chain.from_iterable(rows), np.int32)
         self.checks = np.concatenate([self.checks, checks])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, flat(e.ids for e in found)])
@@ -139,8 +153,6 @@ class PieceEncoder:
             z = np.zeros(0, np.int64)
             return z, np.zeros(len(texts), np.int64), (z if spans else None), (z if spans else None)
         ends = np.append(starts[1:], len(big))
-        if (ends - starts).max() > LONG_PIECE:
-            return self._whole(texts, spans)
         # equal pieces share a row of the table: it is found by one hash, and a second one with the length confirms it
         key = piece_hash(cp, starts, ends, BASES[0])
         check = piece_hash(cp, starts, ends, BASES[1]) + (ends - starts).astype(np.uint64)
@@ -168,16 +180,20 @@ class PieceEncoder:
             self.rows = np.insert(self.rows, at[~found], len(self.rows) + np.arange(len(new)))
             self.keys = np.insert(self.keys, at[~found], key[new])
             at = np.searchsorted(self.keys, key[one])
-        rows = self.rows[at][same]
-        size = self.at[rows + 1] - self.at[rows]
+        # the ids of this slice's distinct pieces one after another, so that the many look-ups stay in a small array
+        rows = self.rows[at]
+        each = self.at[rows + 1] - self.at[rows]
+        place = np.cumsum(each) - each
+        held = np.arange(int(each.sum())) + np.repeat(self.at[rows] - place, each)
+        size = each[same]
         end_at = np.cumsum(size)
-        pick = np.arange(end_at[-1]) + np.repeat(self.at[rows] - (end_at - size), size)
+        pick = np.arange(end_at[-1]) + np.repeat(place[same] - (end_at - size), size)
         of_text = np.searchsorted(bounds, starts, "right") - 1
         counts = np.bincount(of_text, size, len(texts)).astype(np.int64)
         if not spans:
-            return self.ids[pick], counts, None, None
+            return self.ids[held][pick], counts, None, None
         base = np.repeat(starts - bounds[of_text], size)
-        return self.ids[pick], counts, base + self.lo[pick], base + self.hi[pick]
+        return self.ids[held][pick], counts, base + self.lo[held][pick], base + self.hi[held][pick]
 
 
 @functools.lru_cache(2)

@@ -32,3 +32,22 @@ def test_repeats_cost_little_and_damage_is_seen():
         decode_block(block[:-3])
     with pytest.raises(ValueError):
         encode_block(np.array([-1]))
+
+
+def test_bits_an_id_of_text():
+    """Ids of real prose at sf0.01: less than order 0 could give (8.3 bits), and less than 6.5."""
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the test tables are not here")
+    from clauseloom.llm.bytebpe import PieceEncoder
+    from clauseloom.llm.queries import tokenizer_path
+
+    texts = [t or "" for (t,) in duckdb.sql(f"SELECT text FROM read_parquet('{path}{'/*.parquet' if os.path.isdir(path) else ''}') ORDER BY doc_id").fetchall()]
+    ids, sizes, *_ = PieceEncoder(tokenizer_path()).encode(texts)
+    ids = np.insert(ids, np.cumsum(sizes), 0)
+    block = encode_block(ids)
+    assert (decode_block(block) == ids).all()
+    assert len(block) * 8 / len(ids) < 6.5
