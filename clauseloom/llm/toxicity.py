@@ -1,10 +1,11 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms of a text are its distinct words (runs of ASCII letters and digits, lower case, and bytes from 0x80) and the
-words' prefixes of ``PREFIX`` bytes, hashed to ``2**HASH_BITS`` places. Over a bounded sample of labelled rows the
-places whose presence differs most between the classes are kept. On these the machine learns a weight for each term
-and a vector for each term, whose products weigh pairs of terms: two mild words together can count for more, or for
-less, than the sum of their weights.
+words' prefixes of ``PREFIX`` bytes, hashed to ``2**HASH_BITS`` places. Over a bounded sample of labelled rows two kinds of
+places are kept: those whose presence differs most between the classes, and those of pairs whose common presence says
+what neither says alone (among the ``PAIR_TERMS`` most frequent places and the first kind). On these the machine learns a
+weight for each term and a vector for each term, whose products weigh pairs of terms: two mild words together can count
+for more, or for less, than the sum of their weights.
 """
 
 from __future__ import annotations
@@ -17,15 +18,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import WORD_BYTES, remainder, workers_import
+from .common import WORD_BYTES, remainder, staged, text_column, workers_import
 
 HASH_BITS, PREFIX = 22, 6
 #: Labelled rows that the machine is fitted on at most: those with the smallest hashes of their doc_id.
 SAMPLE_ROWS = 20_000
-#: Kept terms at most, the least rows with a kept term, and the least difference in standard errors.
-MAX_TERMS, MIN_ROWS, MIN_Z = 2048, 5, 5.0
-FACTORS, STEPS, RATE, DECAY = 8, 300, 0.05, 2e-3
+#: Terms kept for themselves at most, the least rows with a kept term, and the least difference in standard errors.
+MAX_TERMS, MIN_ROWS, MIN_Z = 4096, 5, 3.5
+#: Frequent terms that are tried in pairs, the least rows with both, and the least interaction in standard errors (a term
+#: that tells much alone, met with any frequent one, comes near 6 by its uneven spread).
+PAIR_TERMS, PAIR_ROWS, PAIR_Z = 1024, 20, 8.0
+FACTORS, STEPS, RATE, DECAY = 8, 400, 0.05, 2e-3
 TABLE_WORDS = 500_000
 
 
@@ -107,6 +112,26 @@ def fit(rows: list[list[int]], labels: np.ndarray, places: dict[int, int], seed:
     return Machine(places, float(p[0][0]), p[1], p[2])
 
 
+def paired(rows: list[list[int]], labels: np.ndarray, d: int) -> set[int]:
+    """The terms (below d) of telling pairs: with r the label less its mean, the sum of r over the rows with both terms
+    differs by ``PAIR_Z`` standard errors from what the terms' own means of r add up to."""
+    y = np.asarray(labels, np.float32)
+    r = y - y.mean() if len(y) else y
+    both, told = np.zeros((d, d), np.float32), np.zeros((d, d), np.float32)
+    for lo in range(0, len(rows), 1024):
+        at, n = _flat(rows[lo : lo + 1024])
+        x = np.zeros((len(n), d), np.float32)
+        x[np.repeat(np.arange(len(n)), n), at] = 1
+        both += x.T @ x
+        told += x.T @ (x * r[lo : lo + 1024, None])
+    n, s = np.diag(both).astype(float), np.diag(told).astype(float)
+    mean = s / np.maximum(n, 1)
+    free = np.maximum(1 - both / np.maximum(n, 1)[:, None], 0.02) * np.maximum(1 - both / np.maximum(n, 1)[None, :], 0.02)
+    z = (told - both * (mean[:, None] + mean[None, :])) / np.sqrt(np.maximum(both * free * float((r * r).mean() if len(r) else 0), 1e-9))
+    np.fill_diagonal(z, 0)
+    return set(np.unique(np.nonzero((np.abs(z) >= PAIR_Z) & (both >= PAIR_ROWS))[0]).tolist())
+
+
 def labelled_sample(labels: DataFrame, trains: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most ``rows`` labelled rows (doc_id, toxic) that may be learnt from: one for each doc_id (the larger label
     where rows differ), null ids and labels left out, by the smallest hashes of doc_id."""
@@ -119,12 +144,14 @@ def labelled_sample(labels: DataFrame, trains: Column, rows: int = SAMPLE_ROWS)
 
 def learn(docs: DataFrame, labels: DataFrame, trains: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Fit the machine on the labelled documents for which ``trains`` (of doc_id) holds; by default remainder 1 to 4
-    of crc32(doc_id as text) modulo 5. What reaches the driver is bounded by ``sample_rows`` and ``MAX_TERMS``."""
+    of crc32(doc_id as text) modulo 5. Of rows that repeat a doc_id the one with the greatest text counts. What reaches
+    the driver is bounded by ``sample_rows``, ``MAX_TERMS`` and ``PAIR_TERMS``."""
     workers_import(docs.sparkSession)
     trains = remainder(F.col("doc_id"), 5) != 0 if trains is None else trains
     # at most sample_rows rows of 12 bytes
     sample = F.broadcast(labelled_sample(labels, trains, sample_rows).select("doc_id", "toxic"))
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", "text", "toxic")
+    found = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    rows = staged(found.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")), "labelled", "snappy")
 
     def count(batches):
         terms, seen, n = Terms(), [Counter(), Counter()], [0, 0]
@@ -146,18 +173,25 @@ def learn(docs: DataFrame, labels: DataFrame, trains: Column | None = None, samp
         return fit([[]] * (n0 + n1), np.array([1.0] * n1 + [0.0] * n0), {})
     p = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    best = stats.where("place >= 0").where(F.col("n0") + F.col("n1") >= MIN_ROWS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "place").limit(MAX_TERMS)
-    places = {r["place"]: i for i, r in enumerate(best.select("place").collect())}
+    kept = staged(stats.where("place >= 0").where(F.col("n0") + F.col("n1") >= MIN_ROWS).select("place", (F.col("n0") + F.col("n1")).alias("n"), z.alias("z")), "toxicity-terms")
+    best = [r["place"] for r in kept.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "place").limit(MAX_TERMS).select("place").collect()]
+    often = [r["place"] for r in kept.where(F.col("n") >= PAIR_ROWS).orderBy(F.desc("n"), "place").limit(PAIR_TERMS).select("place").collect()]
+    tried = {p: i for i, p in enumerate(dict.fromkeys([*best[:PAIR_TERMS], *often, *best]))}
 
     def gather(batches):
-        terms = Terms(places)
+        terms = Terms(tried)
         for batch in batches:
             found = [sorted({p for w in words_of(t.as_py()) for p in terms[w] or ()}) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "at"])
 
     got = rows.mapInArrow(gather, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, at array<int>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["at"]))
-    return fit([r["at"] for r in got], np.array([float(r["toxic"] == 1) for r in got]), places)
+    got.sort(key=lambda r: str(r["doc_id"]))
+    at, y = [r["at"] for r in got], np.array([float(r["toxic"] == 1) for r in got])
+    d = min(len(tried), 2 * PAIR_TERMS)
+    own = {tried[p] for p in best} | paired([[i for i in r if i < d] for r in at], y, d)
+    place = dict(zip(tried.values(), tried, strict=True))
+    number = {i: k for k, i in enumerate(sorted(own))}
+    return fit([[number[i] for i in r if i in number] for r in at], y, {place[i]: k for i, k in number.items()})
 
 
 def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
@@ -167,8 +201,8 @@ def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     workers_import(spark)
     sent = spark.sparkContext.broadcast(machine)
     out = docs.drop(name)
-    at = out.columns.index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields), f"`{name}` double"])
+    at = text_column(out)
+    schema = StructType([*out.schema.fields, StructField(name, DoubleType())])
 
     def score(batches):
         terms = Terms(sent.value.places)
