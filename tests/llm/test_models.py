@@ -99,6 +99,38 @@ def test_toxicity_learns_pairs_and_holds_out(spark):
     assert got[5000].score == got[5001].score and got[5000].predicted == 0 and got[5002].predicted == 1
 
 
+def test_toxicity_learns_pairs_that_tell_nothing_alone(spark):
+    """Label 1 where exactly one of two words occurs: neither word differs between the classes."""
+    rng = random.Random(31)
+    rows, labels = [], []
+    for i in range(2000):
+        w = [f"n{rng.randrange(500)}" for _ in range(rng.randrange(5, 40))]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w += ["alpha"] * a + ["beta"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(a != b)))
+    got = {r.doc_id: r for r in toxicity.toxic_scores(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert np.mean([got[i].predicted == y for i, _, y in labels if got[i].held_out]) > 0.95
+
+
+def test_scores_as_a_plain_factorization_machine(spark):
+    rows, labels = insults(random.Random(2), 400)
+    docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = toxicity.learn(docs, table)
+    for r in toxicity.scored(docs.select(docs.doc_id, docs.text.alias("Text"), docs.lang), m, "p").collect():
+        at = sorted({m.places[p] for w in toxicity.words_of(r.Text) for p in toxicity.places_of(w) if p in m.places})
+        raw = m.bias + sum(m.weights[i] for i in at) + sum(float(m.vectors[i] @ m.vectors[j]) for k, i in enumerate(at) for j in at[:k])
+        assert r.p == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9)
+
+
+def test_toxicity_learns_once_from_a_repeated_row(spark):
+    rows, labels = insults(random.Random(5), 300)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once, more = (toxicity.learn(frame(spark, r), table) for r in (rows, rows + rows[:1] * 500))
+    assert once.places == more.places and np.allclose(once.weights, more.weights)
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     rows, labels = insults(random.Random(4), 300)
     swapped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
@@ -130,9 +162,10 @@ def mix_data(spark):
 def test_rates_as_brute_force(spark, floor):
     docs, labels, rows = mix_data(spark)
     targets = {"en": 0.4, "fr": 0.3, "de": 0.3}
-    found, domains = mixing.rates(docs, mixing.domain_rows(docs, labels), targets, floor)
-    got = {r.doc_id: r for r in found.collect()}
+    found, reached = mixing.rates(docs, mixing.domain_rows(docs, labels), targets, floor)
+    got, domains = {r.doc_id: r for r in found.collect()}, list(reached)
     assert domains == ["de", "en", "fr"] and len(got) == len(rows)
+    assert all(abs(r - w) < 0.002 and (floor or w == pytest.approx(targets[d])) for d, (r, w) in reached.items())
     assert all(got[i].n_tokens == len((t or "").split()) for i, t, *_ in rows)
     assert np.mean([got[i].domain == lang for i, t, lang, _ in rows if t and len(t.split()) > 3]) > 0.97
     ids = sorted(got)
@@ -142,11 +175,12 @@ def test_rates_as_brute_force(spark, floor):
     have = t @ p
     share = np.array([targets[d] for d in domains])
     want = share * (max(floor * have.sum(), *(floor * have / share)) if floor else have.sum())
-    w = np.ones(len(ids))
+    w, last = np.ones(len(ids)), np.full(3, np.inf)
     for _ in range(mixing.STEPS):
         residual = ((w * t) @ p - want) / have
-        if np.abs(residual).max() < mixing.CLOSE:
+        if np.abs(residual).max() < mixing.CLOSE or np.abs(residual - last).max() < mixing.CLOSE / 10:
             break
+        last = residual
         w = np.maximum(floor, w - p @ residual)
     assert np.allclose([got[i].rate for i in ids], w)
     assert np.allclose((w * t) @ p, want, rtol=0.02)
@@ -155,10 +189,49 @@ def test_rates_as_brute_force(spark, floor):
 
 def test_mixed_copies(spark):
     docs, labels, rows = mix_data(spark)
-    out = Counter(r.doc_id for r in mixing.mixed(docs, mixing.domain_rows(docs, labels), {"en": 0.3, "fr": 0.35, "de": 0.35}).collect())
+    out = Counter(r.doc_id for r in mixing.mixed(docs, mixing.domain_rows(docs, labels), {"en": 0.3, "fr": 0.35, "de": 0.35}, 1.0).collect())
     assert set(out) == {r[0] for r in rows} and max(out.values()) > 1
 
 
+def test_domains_that_want_nothing_go(spark):
+    docs, labels, rows = mix_data(spark)
+    docs = docs.where("doc_id <> 902").select("*", docs.lang.alias("rate"), docs.lang.alias("n_tokens"))
+    out = mixing.mixed(docs, mixing.domain_rows(docs, labels), {"fr": 0.5, "de": 0.5})
+    assert out.columns == docs.columns
+    n = Counter(r.lang for r in out.collect() if len((r.text or "").split()) > 5)
+    assert n["en"] == 0 and n["fr"] and n["de"]
+
+
+def test_repeated_rows_are_rows_of_their_own(spark):
+    docs, labels, rows = mix_data(spark)
+    again = docs.unionByName(docs.where("doc_id in (3, 4)")).unionByName(docs.where("doc_id = 5").withColumn("text", docs.lang))
+    found, _ = mixing.rates(again, mixing.domain_rows(again, labels))
+    n = Counter(r.doc_id for r in found.collect())
+    assert (n[3], n[4], n[5], n[6]) == (2, 2, 2, 1) and sum(n.values()) == len(rows) + 3
+    copies = Counter((r.doc_id, r.text) for r in mixing.mixed(again, mixing.domain_rows(again, labels)).collect())
+    assert all(k % 2 == 0 for (i, _), k in copies.items() if i in (3, 4))
+
+
+def test_posteriors_as_plain_naive_bayes(spark):
+    import xxhash
+
+    docs, labels, rows = mix_data(spark)
+    found, reached = mixing.rates(docs, mixing.domain_rows(docs, labels))
+    domains = list(reached)
+    place = lambda w: xxhash.xxh64_intdigest(w, seed=42) % mixing.BUCKETS
+    learnt = [(t, lang) for i, t, lang, _ in rows if i < 900 and i % 2]
+    counts = {d: Counter(place(w) for t, lang in learnt if lang == d for w in t.split()) for d in domains}
+    texts = {i: (t or "").split() for i, t, *_ in rows}
+    for r in found.collect():
+        w, logs = texts[r.doc_id], []
+        for d in domains:
+            total = sum(counts[d].values()) + 0.5 * mixing.BUCKETS
+            said = sum(math.log((counts[d][place(x)] + 0.5) / total) for x in w)
+            logs.append(said * mixing.EVIDENCE_WORDS / (len(w) + mixing.EVIDENCE_WORDS) + math.log((sum(lang == d for _, lang in learnt) + 1) / (len(learnt) + len(domains))))
+        e = np.exp(np.array(logs) - max(logs))
+        assert np.allclose([r[f"p{k}"] for k in range(len(domains))], e / e.sum(), atol=1e-9)
+
+
 def test_mixing_edges(spark):
     docs, labels, _ = mix_data(spark)
     none, _ = mixing.rates(docs, mixing.domain_rows(docs, labels.limit(0)))
