@@ -11,29 +11,27 @@ probability under 10^-14.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id and prefixes: an array, by length, of (k, a, b). Turns are in order of turn (nulls first), then role and
-    text; rows equal in all four columns count once; rows with a null conv_id belong to no conversation. Texts do not
-    leave the scan: only their hashes are grouped."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    hashed = turns.where("conv_id is not null").select(
-        "conv_id", F.struct("turn", role.alias("role"), F.xxhash64(F.lit("a"), role, text).alias("a"), F.xxhash64(F.lit("b"), text, role).alias("b"), F.octet_length(text).alias("size")).alias("t")
-    )
-    ordered = hashed.groupBy("conv_id").agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    placed = F.transform("ts", lambda t, i: F.struct(F.xxhash64(i, t["a"]).alias("a"), F.xxhash64(i, t["b"]).alias("b")))
-    start = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    rolled = F.aggregate(
-        placed,
-        F.array(start),
-        lambda acc, t: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["k"] + 1).alias("k"), F.element_at(acc, -1)["a"].bitwiseXOR(t["a"]).alias("a"), F.element_at(acc, -1)["b"].bitwiseXOR(t["b"]).alias("b")))),
-    )
-    return ordered.select("conv_id", F.slice(rolled, 2, F.size("ts")).alias("prefixes"))
+    """conv_id, k, a, b and last for each prefix of k turns; last marks the whole conversation. Turns are in order of turn
+    (nulls first), then role and text; rows equal in all four columns count once; rows with a null conv_id belong to no
+    conversation.
+
+    The hash rolls over a window, row after row: a conversation of any length is sorted (on disk if need be) and read
+    once, and never held as one value."""
+    said = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = said.withColumn("k", F.row_number().over(order))
+    for name, parts in (("a", ("role", "text")), ("b", ("text", "role"))):
+        placed = placed.withColumn(f"own_{name}", F.xxhash64("k", F.lit(name), *parts))
+    rolled = [F.bit_xor(f"own_{name}").over(so_far).alias(name) for name in "ab"]
+    return placed.select("conv_id", "k", *rolled, F.lead("k").over(order).isNull().alias("last"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -42,8 +40,8 @@ def maximal(turns: DataFrame) -> DataFrame:
     Both sides of the anti-join have one row for each distinct hash, so that a first turn, or a conversation, that
     recurs in a third of all rows is summed before it is dealt out."""
     hashes = prefix_hashes(turns)
-    whole = hashes.select("conv_id", F.element_at("prefixes", -1).alias("p")).groupBy("p.k", "p.a", "p.b").agg(F.min("conv_id").alias("conv_id"))
-    proper = hashes.select(F.explode(F.slice("prefixes", 1, F.size("prefixes") - 1)).alias("p")).select("p.k", "p.a", "p.b").distinct()
+    whole = hashes.where("last").groupBy("k", "a", "b").agg(F.min("conv_id").alias("conv_id"))
+    proper = hashes.where("not last").select("k", "a", "b").distinct()
     return whole.join(proper, ["k", "a", "b"], "left_anti").select("conv_id", F.col("k").alias("n_turns"))
 
 

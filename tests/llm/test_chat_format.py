@@ -31,3 +31,13 @@ def test_edges(spark):
 def test_same_words_in_another_order_or_place_are_another_conversation(spark):
     rows = [(1, 0, "u", "a"), (1, 1, "u", "b"), (2, 0, "u", "b"), (2, 1, "u", "a"), (2, 2, "u", "c"), (3, 0, "u", "b"), (4, 0, "ub", ""), (5, 0, "u", "bb")]
     assert set(run(spark, rows)) == {1, 2, 4, 5}
+
+
+def test_many_turns(spark):
+    """A conversation of 20,000 turns, logged three times: once whole, once from its start, once changed in the middle."""
+    turns = [("user" if k % 2 else "assistant", f"t{k % 50}") for k in range(20_000)]
+    rows = [(1, k, *t) for k, t in enumerate(turns)] + [(2, k, *t) for k, t in enumerate(turns[:15_000])]
+    rows += [(3, k, *t) if k != 7000 else (3, k, "user", "else") for k, t in enumerate(turns[:15_000])]
+    got = run(spark, rows)
+    assert {i: n for i, (n, _) in got.items()} == {1: 20_000, 3: 15_000}
+    assert got[1][1] == "".join(line(*t) for t in turns)
