@@ -9,16 +9,19 @@ the shift is 0, the block's bucket lists the patterns that end in it, and direct
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import WORD_BYTES, staged, workers_import
+from .common import WORD_BYTES, staged, text_column, workers_import
 
 WINDOW, BLOCK = 10, 2
-#: Bytes of item texts that one search table is built from; more items are searched for in several passes.
-PASS_BYTES = 32 << 20
+#: Bytes of item texts that one search table is built from (a table takes some hundred bytes a word); more items are
+#: searched for in several passes, one after another.
+PASS_BYTES = 4 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -72,55 +75,60 @@ class Search:
         return _merge(spans), items
 
 
-def passes(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> list[list[tuple[str, str]]]:
-    """The distinct test items in groups of at most ``pass_bytes`` (or one item), each brought to the driver by itself."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null and item is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0)).alias("b")).first()["b"]
-    if size <= pass_bytes:
-        return [[(r["item"], r["text"]) for r in items.collect()]]
-    n = 2 * int(-(-size // pass_bytes))
-    dealt = staged(items.withColumn("deal", F.pmod(F.xxhash64("item"), F.lit(n))), "items", narrow=True)
-    return [[(r["item"], r["text"]) for r in dealt.where(F.col("deal") == k).collect()] for k in range(n)]
+def passes(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[list[tuple[str | None, str]]]:
+    """The distinct test items in groups of about ``pass_bytes`` at most (or one item); one group at a time is on the
+    driver. There is one group at least."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    size = F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0))
+    n = max(1, 2 * int(-(-(items.agg(F.sum(size).alias("b")).first()["b"] or 0) // pass_bytes)) - 1)
+    dealt = staged(items.withColumn("deal", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "items", "snappy")
+    for k in range(n):
+        yield [(r["item"], r["text"]) for r in dealt.where(F.col("deal") == k).collect()]
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Each document with its columns and n_words, hits (merged word spans inside occurrences) and items (the test
     items with occurring windows, sorted as strings).
 
-    A null or empty text has no words and no hits; items without words match nothing; repeated rows of either table
-    change nothing. Columns of ``docs`` named n_words, hits or items are replaced.
+    A null or empty text has no words and no hits; items without words match nothing; an item without an id counts for
+    hits and is not listed; repeated rows of either table change nothing. Columns of ``docs`` named n_words, hits or
+    items are replaced. With several groups of items the result of each pass is staged before the next one.
     """
     spark = docs.sparkSession
     workers_import(spark)
     out = docs.drop("n_words", "hits", "items")
-    groups = passes(benchmark, pass_bytes)
-    kept = [f for f in out.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    at = out.columns.index("text")
+    kept = list(out.schema.fields)
+    span = StructType([StructField("a", LongType()), StructField("b", LongType())])
+    found = StructType([*kept, StructField("n_words", LongType()), StructField("hits", ArrayType(span)), StructField("items", ArrayType(StringType()))])
+    at = text_column(out)
 
     def search_with(tables, more):
         def search(batches):
             find = tables.value.find
             for batch in batches:
-                n_words, hits, found = [], [], []
+                n_words, hits, listed = [], [], []
                 for i, text in enumerate(batch.column(at)):
                     w = words_of(text.as_py())
                     spans, items = find(w)
                     if more:
                         spans = _merge(spans + [(x["a"], x["b"]) for x in batch.column("hits")[i].as_py()])
-                        items = items.union(batch.column("items")[i].as_py())
+                        items = {*items, *batch.column("items")[i].as_py()}
                     n_words.append(len(w))
                     hits.append([{"a": a, "b": b} for a, b in spans])
-                    found.append(sorted(items))
+                    listed.append(sorted(items - {None}))
                 cols = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name not in ("n_words", "hits", "items")]
-                cols += [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(found, pa.list_(pa.string()))]
+                cols += [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(listed, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in kept] + ["n_words", "hits", "items"])
 
         return search
 
-    for k, group in enumerate(groups):
+    tables = None
+    for k, group in enumerate(passes(benchmark, pass_bytes)):
+        if tables is not None:
+            out = staged(out, "hits", "snappy")
+            tables.destroy()
         tables = spark.sparkContext.broadcast(Search(group))
-        out = out.mapInArrow(search_with(tables, k > 0), f"{schema}, n_words long, hits array<struct<a:long,b:long>>, items array<string>")
+        out = out.mapInArrow(search_with(tables, k > 0), found)
     return out
 
 

@@ -59,6 +59,17 @@ def test_in_several_passes(spark):
     check(spark, 150)
 
 
+def test_item_without_id_counts_and_is_not_listed(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "d", "x")], DOCS)
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in dc.digest(dc.occurrences(docs, spark.createDataFrame([(None, "b c")], ITEMS))).collect()}
+    assert got == {1: (2, 0, True), 2: (0, 0, False)}
+
+
+def test_other_spelling_of_names_and_nested_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", {"x y": 1}), (2, "q", None)], "doc_id long, Text string, more struct<`x y`:int>")
+    assert [tuple(r)[:2] for r in dc.decontaminated(docs, spark.createDataFrame([(5, "b c")], ITEMS)).collect()] == [(2, "q")]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x")], DOCS)
     none = spark.createDataFrame([], ITEMS)
