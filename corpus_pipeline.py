@@ -13,8 +13,8 @@ from clauseloom.llm.common import staged, table
 
 #: Documents with a toxicity score of this or more go.
 TOXIC = 0.5
-#: No stage after the toxicity filter drops a document to reach the mix: rates are at least this.
-LEAST_RATE = 1.0
+#: The mix may leave documents out: the least rate.
+LEAST_RATE = 0.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, each at least once, repeated by their fitted rates."""
+    """Documents as often as their fitted rates say, so that the domains' tokens meet ``queries.TARGETS``; those of domains
+    that have too many tokens, or want none, go by their rates. A table without labelled rows stays as it is."""
     return mixing.mixed(docs, mixing.domain_rows(docs, table(spark, sf_dir, "labels")), queries.TARGETS, LEAST_RATE)
 
 
