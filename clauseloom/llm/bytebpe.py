@@ -30,17 +30,18 @@ BYTE_CHARS[sorted(set(range(256)) - set(PRINTABLE))] = 0x100 + np.arange(256 - l
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-@functools.cache
-def classes() -> np.ndarray:
-    out = np.full(0x110000, OTHER, np.uint8)
-    for cp in range(0x110000):
-        c = unicodedata.category(chr(cp))[0]
-        if c == "L":
-            out[cp] = LETTER
-        elif c == "N":
-            out[cp] = NUMBER
-    out[WHITE] = SPACE
-    return out
+_CLASSES, _KNOWN = np.full(0x110000, OTHER, np.uint8), np.zeros(0x1100, bool)
+
+
+def classes(cp: np.ndarray) -> np.ndarray:
+    """The class of each code point; the table is filled in pages of 256 as they occur."""
+    pages = np.bincount(cp >> 8, minlength=len(_KNOWN)) > 0
+    for page in np.flatnonzero(pages & ~_KNOWN).tolist():
+        for c in range(page << 8, (page + 1) << 8):
+            kind = unicodedata.category(chr(c))[0]
+            _CLASSES[c] = SPACE if c in WHITE else LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
+        _KNOWN[page] = True
+    return _CLASSES[cp]
 
 
 @functools.lru_cache(4)
@@ -63,7 +64,7 @@ def piece_starts(big: str, cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n = len(big)
     if not n:
         return np.zeros(0, np.int64)
-    cls = classes()[cp]
+    cls = classes(cp)
     first = np.zeros(n + 1, bool)
     first[bounds] = True
     start = first.copy()
