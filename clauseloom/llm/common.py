@@ -17,12 +17,15 @@ WORD_BYTES = bytes(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) an own one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset a temporary one, which
+    only a local session can share with its executors; elsewhere that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clauseloom-"))
         root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return root
