@@ -62,18 +62,19 @@ def heading_paths(md: DataFrame) -> DataFrame:
 
 
 def carried(md: DataFrame) -> DataFrame:
-    """Classified lines with page, form_code and printed: the last anchors' values. A table that names a later page
-    moves the page on until the next anchor."""
+    """Classified lines with page, form_code and printed: the last anchors' values. Behind a table the page is the last
+    one it names, if that is later, until the next anchor."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     is_page, is_form = F.col("kind") == "page", F.col("kind") == "form"
+    named = F.coalesce(F.col("attrs")["pages"], F.lit(""))
     out = md.withColumns({
         "anchor": F.last(F.when(is_page, F.regexp_extract("line", K.PAGE_ANCHOR, 1).cast("int")), ignorenulls=True).over(w),
         "anchors": F.sum(F.when(is_page, 1).otherwise(0)).over(w),
         "form_code": F.last(F.when(is_form, F.regexp_extract("line", K.FORM_ANCHOR, 1)), ignorenulls=True).over(w),
         "printed": F.last(F.when(is_form, F.regexp_extract("line", K.FORM_ANCHOR, 2).cast("int")), ignorenulls=True).over(w),
-        "table_page": F.regexp_extract(F.coalesce(F.col("attrs")["pages"], F.lit("")), r"^([0-9]+)-?([0-9]*)$", 1).try_cast("int"),
+        "table_page": F.coalesce(F.regexp_extract(named, r"^([0-9]+)-([0-9]+)$", 2).try_cast("int"), F.regexp_extract(named, r"^([0-9]+)-?$", 1).try_cast("int")),
     })
-    since = Window.partitionBy("doc_id", "anchors").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("doc_id", "anchors").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     page = F.greatest(F.coalesce("anchor", F.lit(1)), F.coalesce(F.max("table_page").over(since), F.lit(0)))
     return out.withColumn("page", page).drop("anchor", "anchors", "table_page")
 

@@ -69,7 +69,7 @@ def test_blocks(spark):
     assert not any("skipped" in r.text for r in b)
     table = next(r for r in b if r.kind == "table")
     assert table.meta["id"] == "t1" and (table.page_start, table.page_end) == (3, 4)
-    assert next(r for r in b if "Nebulizer" in r.text).page_start == 3
+    assert next(r for r in b if "Nebulizer" in r.text).page_start == 4
 
 
 def test_row_sentences_and_escapes(spark):
