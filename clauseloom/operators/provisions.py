@@ -123,25 +123,58 @@ def score(weight, n_matched, n_terms, n_tokens):
     return F.round(weight * (0.5 + n_matched / F.greatest(n_terms, F.lit(1))) * brevity, 4)
 
 
-def search(cases: DataFrame, units: DataFrame, idf: DataFrame, top: int = 8) -> DataFrame:
-    """The ``top`` provisions of each case: case_id, rank, unit_id, score, matched, distinctive, core_matched.
+#: The rarest terms of a case, which give the first guess of its best provisions.
+RARE_TERMS = 3
+#: Cases whose terms are broadcast; beyond it they are dealt out by term.
+MAX_CASES = 20_000
 
-    cases: case_id, core, terms. units: unit_id, text, scope. idf: term, idf. Cases are the stated query set; their terms
-    meet the units' postings by a join on the term."""
+
+def search(cases: DataFrame, units: DataFrame, idf: DataFrame | None = None, top: int = 8) -> DataFrame:
+    """The ``top`` provisions of each case: case_id, rank, unit_id, scope, score, matched, distinctive, core_matched, best_idf.
+
+    cases: case_id, core, terms. units: unit_id, text, scope. idf: term, idf; by default counted over the units, for the
+    asked terms only. Cases are the stated query set; their terms meet the units' postings by a join on the term.
+
+    Common terms bring nearly all units and little weight, so units are looked up by a case's essential terms only: the
+    score of the units that match one of its ``RARE_TERMS`` rarest gives a bound that the last of the ``top`` reaches,
+    and the most common terms whose weights together stay under it cannot lift a unit into the result by themselves.
+    What is found so is scored by all terms: the result is exact."""
+    small = F.broadcast if cases.limit(MAX_CASES + 1).count() <= MAX_CASES else (lambda df: df)
     asked = cases.select("case_id", "core", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("at", "term"))
-    tokens = F.array_distinct(T.search_tokens("text"))
-    postings = units.select("unit_id", F.coalesce("scope", F.lit("exclusion")).alias("scope"), F.size(tokens).alias("n_tokens"), F.explode(tokens).alias("term"))
+    split = units.select("unit_id", F.coalesce("scope", F.lit("exclusion")).alias("scope"), F.array_distinct(T.search_tokens("text")).alias("tokens"))
+    postings = split.select("unit_id", F.explode("tokens").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    if idf is None:
+        df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = df.select("term", F.log1p(F.lit(max(units.count(), 1)) / (1 + F.col("df"))).alias("idf"))
     weighted = asked.join(idf.select("term", "idf"), "term", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
-    hits = postings.join(weighted, "term")
-    found = hits.groupBy("case_id", "unit_id", "scope", "n_tokens", "n_terms").agg(F.array_sort(F.collect_list(F.struct("at", "term", "idf", F.array_contains("core", F.col("term")).alias("is_core")))).alias("m"))
-    # the sum goes over the terms in order, so that it does not depend on how rows were dealt
-    weight = F.aggregate("m", F.lit(0.0), lambda s, x: s + x["idf"])
-    raw = score(weight, F.size("m"), F.col("n_terms"), F.col("n_tokens"))
-    found = found.withColumn("score", F.when(F.col("scope") == "definition", F.round(raw * K.DEFINITION_WEIGHT, 4)).otherwise(raw)).where("score > 0")
-    best = Window.partitionBy("case_id").orderBy(F.desc("score"), "unit_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    by_weight = Window.partitionBy("case_id").orderBy("idf", "at")
+    upto = by_weight.rowsBetween(Window.unboundedPreceding, 0)
+    weighted = weighted.withColumns({
+        "rarity": F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("idf"), "at")),
+        "most": F.sum("idf").over(upto) * (0.5 + F.row_number().over(by_weight) / F.col("n_terms")),
+    }).select("case_id", "at", "term", "idf", "n_terms", "rarity", "most", F.array_contains("core", F.col("term")).alias("is_core"))
+    weighted = cases.sparkSession.createDataFrame(weighted.collect(), weighted.schema) if small is F.broadcast else weighted
+    profiles = weighted.groupBy("case_id", "n_terms").agg(F.array_sort(F.collect_list(F.struct("at", "term", "idf", "is_core"))).alias("ts"))
+
+    def best(chosen: DataFrame, limit: int) -> DataFrame:
+        pairs = postings.join(small(chosen.select("case_id", "term")), "term").select("case_id", "unit_id").distinct()
+        both = pairs.join(split, "unit_id").join(small(profiles), "case_id")
+        found = both.withColumn("m", F.filter("ts", lambda x: F.array_contains("tokens", x["term"])))
+        # the sum goes over the terms in order, so that it does not depend on how rows were dealt
+        weight = F.aggregate("m", F.lit(0.0), lambda s, x: s + x["idf"])
+        raw = score(weight, F.size("m"), F.col("n_terms"), F.size("tokens"))
+        found = found.withColumn("score", F.when(F.col("scope") == "definition", F.round(raw * K.DEFINITION_WEIGHT, 4)).otherwise(raw)).where("score > 0")
+        order = Window.partitionBy("case_id").orderBy(F.desc("score"), "unit_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+    bound = best(weighted.where(F.col("rarity") <= RARE_TERMS), top).where(F.col("rank") == top).select("case_id", F.col("score").alias("bound"))
+    # scores are rounded to four digits
+    essential = weighted.join(bound, "case_id", "left").where(F.col("most") + 1e-3 >= F.coalesce("bound", F.lit(0.0)))
     terms = lambda keep: F.transform(F.filter("m", keep), lambda x: x["term"])
-    return ranked.select("case_id", "rank", "unit_id", "scope", "score", terms(lambda x: F.lit(True)).alias("matched"), terms(lambda x: x["idf"] >= K.DISTINCTIVE_IDF).alias("distinctive"), terms(lambda x: x["is_core"]).alias("core_matched"), F.coalesce(F.array_max(F.transform("m", lambda x: x["idf"])), F.lit(0.0)).alias("best_idf"))
+    return best(essential, top).select(
+        "case_id", "rank", "unit_id", "scope", "score", terms(lambda x: F.lit(True)).alias("matched"), terms(lambda x: x["idf"] >= K.DISTINCTIVE_IDF).alias("distinctive"),
+        terms(lambda x: x["is_core"]).alias("core_matched"), F.coalesce(F.array_max(F.transform("m", lambda x: x["idf"])), F.lit(0.0)).alias("best_idf"),
+    )
 
 
 # ---- verdicts
@@ -206,17 +239,21 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def reranked(provisions: DataFrame, scorer, top: int = 8) -> DataFrame:
     """Provisions (case_id, rank, query, text) in the order of a pluggable scorer (lists of queries and texts to scores),
-    with the old rank as lexical_rank. If the scorer fails on a batch, that batch keeps its order."""
+    with the old rank as lexical_rank. Where the scorer fails on a batch, each case that has a part in it keeps its order
+    whole, and rerank_error says why."""
 
     def score_batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
+            got, error = [None] * len(p), None
             try:
                 got = scorer(p["query"].tolist(), p["text"].tolist())
-            except Exception:  # noqa: BLE001  an outside service must not lose the search's own result
-                got = [None] * len(p)
-            yield p.assign(rerank_score=pd.array(got, "Float64"))
+            except Exception as e:  # noqa: BLE001  an outside service must not lose the search's own result
+                error = f"{type(e).__name__}: {e}"
+            yield p.assign(rerank_score=pd.array(got, "Float64"), rerank_error=error)
 
     schema = provisions.schema.simpleString()[len("struct<") : -1]
-    scored = provisions.mapInPandas(score_batches, f"{schema},rerank_score:double")
+    scored = provisions.mapInPandas(score_batches, f"{schema},rerank_score:double,rerank_error:string")
+    failed = F.max("rerank_error").over(Window.partitionBy("case_id"))
+    scored = scored.withColumn("rerank_error", failed).withColumn("rerank_score", F.when(F.col("rerank_error").isNull(), F.col("rerank_score")))
     w = Window.partitionBy("case_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
     return scored.withColumn("lexical_rank", F.col("rank")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -41,10 +41,13 @@ class Table:
         return self.read()
 
     def upsert(self, rows: DataFrame) -> int:
-        """Insert or replace rows by key (the last of equal keys in ``rows`` by all columns' order); returns how many are
-        new or changed."""
+        """Insert or replace rows by key (of rows with equal keys the greatest, column by column); returns how many are new
+        or changed."""
         old = self.read()
-        new = rows.dropDuplicates([self.key])
+        rest = [c for c in rows.columns if c != self.key]
+        text = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in rows.dtypes if c != self.key]
+        order = Window.partitionBy(self.key).orderBy(*(c.desc_nulls_last() for c in text))
+        new = rows.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").select(*rows.columns) if rest else rows.distinct()
         if old is None:
             return self.write(new).count()
         same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in new.columns if c in old.columns]
@@ -61,6 +64,13 @@ class Table:
         return gone
 
 
+def projected(chunks: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks as readers get them: ``_id`` is chunk_id, and the embedding never comes along (its column is not read);
+    ``columns`` picks others."""
+    named = chunks.withColumnRenamed("_id", "chunk_id").drop("embedding")
+    return named.select("chunk_id", *columns) if columns else named
+
+
 def attach_embeddings(chunks: DataFrame, vectors: DataFrame, model: str, dim: int) -> DataFrame:
     """Chunks with embedding, embed_model, embed_dim, embedded_at, joined on chunk_id; a vector of another size, or a
     chunk without one, raises when the row is read."""

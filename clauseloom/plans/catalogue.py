@@ -7,13 +7,13 @@ gives pipe tables of 40 parts; lines of a document stand for lines of pages of 1
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import embed
 from ..functions import text as T
-from ..operators import audit, chunking, inventory, layout, markdown, provisions, search, store, validate
+from ..operators import audit, chunking, grids, inventory, layout, markdown, provisions, search, store, validate
 from ..sources import readers
 from ..streaming import ingest
 
@@ -71,6 +71,30 @@ mo AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY block ROWS UNBOUNDE
 sec AS (SELECT doc_id, occurrence, any_value(breadcrumb) AS breadcrumb, coalesce(any_value(path)[-1], '(no heading)') AS heading, len(any_value(path)) AS depth, min(page_start) AS page_start, max(page_end) AS page_end, count(*) AS text_blocks, 0 AS tables, sum(length(text)) AS chars FROM mo GROUP BY doc_id, occurrence)"""
 
 
+def tables_markdown_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, markdown: a page anchor before every fourth line, and behind every third line a table that names the page it
+    is on, or two or three pages, or none."""
+    none = F.array().cast("array<string>")
+
+    def laid(s, i):
+        page = (F.floor(i / 4) + 1).cast("string")
+        anchor = F.when(i % 4 == 0, F.array(F.concat(F.lit("<!-- page: "), page, F.lit(" -->")))).otherwise(none)
+        last = (F.floor(i / 4) + 1 + F.pmod(F.col("doc_id") + i, F.lit(3))).cast("string")
+        pages = F.when(i % 2 == 0, F.concat(F.lit(" pages="), page, F.lit("-"), last)).when(i % 5 == 0, F.concat(F.lit(" pages="), page)).otherwise("")
+        opened = F.concat(F.lit("<!-- table id=t"), i.cast("string"), pages, F.lit(" -->"))
+        grid = F.array(opened, F.lit("| Name | Days |"), F.lit("| --- | --- |"), F.concat(F.lit("| "), F.length(s).cast("string"), F.lit(" | 3 |")), F.lit("<!-- /table -->"))
+        return F.concat(anchor, F.array(F.lit(""), F.concat(F.lit("line "), i.cast("string")), F.lit("")), F.when(i % 3 == 0, grid).otherwise(none))
+
+    lines = F.transform(F.split("text", "\n"), laid)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.flatten(lines), "\n").alias("markdown"))
+
+
+#: The same layout as rows: i is the line, a table follows where i % 3 = 0.
+MT = """ti AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+tt AS (SELECT *, i // 4 + 1 AS anchor, CASE WHEN i % 3 <> 0 THEN NULL WHEN i % 2 = 0 THEN i // 4 + 1 + (doc_id + i) % 3 WHEN i % 5 = 0 THEN i // 4 + 1 END AS named FROM ti),
+tc AS (SELECT *, greatest(anchor, coalesce(max(named) OVER (PARTITION BY doc_id, anchor ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS page FROM tt)"""
+
+
 def part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, table_id, text: pipe tables of 40 parts, with banner rows, blank cells and a ragged row here and there."""
     p = table(spark, sf_dir, "part").withColumn("t", F.floor(F.col("p_partkey") / 40))
@@ -147,9 +171,9 @@ def token_estimates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens("text").alias("n_tokens"))
 
 
-@query("""SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9$%]+'), lambda t: lower(t))[:20] AS tokens FROM documents""")
+@query("""SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9$%]+'), lambda t: lower(t)) AS tokens FROM documents""")
 def audit_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.slice(T.audit_tokens("text"), 1, 20).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.audit_tokens("text").alias("tokens"))
 
 
 def _sentence_units(spark, sf_dir):
@@ -157,9 +181,32 @@ def _sentence_units(spark, sf_dir):
     return d.select(F.format_string("%010d:%05d", "doc_id", "at").alias("unit_id"), "doc_id", "text", F.lit("exclusion").alias("scope"))
 
 
+@query(f"""WITH {MT} SELECT doc_id, 'para' AS kind, 'line ' || i AS text, page::INT AS page_start, page::INT AS page_end, NULL AS table_id FROM tc
+UNION ALL SELECT doc_id, 'table', '| Name | Days |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || length(s) || ' | 3 |', (CASE WHEN named IS NULL THEN page ELSE anchor END)::INT, coalesce(named, page)::INT, 't' || i FROM tc WHERE i % 3 = 0""")
+def md_table_pages(spark, sf_dir):
+    b = markdown.blocks(tables_markdown_of(spark, sf_dir))
+    return b.select("doc_id", "kind", "text", "page_start", "page_end", F.col("meta")["id"].alias("table_id"))
+
+
+@query(f"""WITH {MD} SELECT DISTINCT value FROM (SELECT unnest(path) AS value FROM mb) WHERE regexp_matches(lower(value), '{K.SCOPES[0][1]}') OR regexp_matches(lower(value), '{K.SCOPES[1][1]}')""")
+def scoped_section_values(spark, sf_dir):
+    return inventory.section_values(markdown.blocks(markdown_of(spark, sf_dir)), ("exclusion", "limitation"))
+
+
+@query(f"""WITH {MD}, dv AS (SELECT doc_id, block, unnest(path) AS name, generate_subscripts(path, 1) AS depth, page_start FROM mb)
+SELECT doc_id, name, arg_min(depth, (block, depth))::INT AS depth, arg_min(page_start, (block, depth))::INT AS page FROM dv WHERE regexp_matches(name, '{K.NAMED_DIVISION}') GROUP BY doc_id, name""")
+def named_divisions(spark, sf_dir):
+    return inventory.divisions(markdown.blocks(markdown_of(spark, sf_dir)))
+
+
+@query("SELECT vec_id AS chunk_id, label FROM embeddings")
+def fixed_projection(spark, sf_dir):
+    return store.projected(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "_id"))
+
+
 def _item_cases(spark, sf_dir):
-    """A case for each benchmark item: its first twelve distinct tokens."""
-    core = F.slice(F.array_distinct(T.search_tokens("text")), 1, 12)
+    """A case for each benchmark item: its distinct tokens."""
+    core = F.array_distinct(T.search_tokens("text"))
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), core.alias("core"), core.alias("terms")).where(F.size("core") > 0)
 
 
@@ -169,7 +216,7 @@ ut AS (SELECT unit_id, list_distinct({toks('text')}) AS ts FROM u),
 po AS (SELECT unit_id, len(ts) AS n_tokens, unnest(ts) AS term FROM ut),
 idf AS (SELECT term, ln(1 + (SELECT count(*) FROM u) / (1 + count(*))) AS idf FROM po GROUP BY term),
 c0 AS (SELECT item_id AS case_id, {toks('text')} AS l FROM benchmark),
-c1 AS (SELECT case_id, list_transform(list_filter(l, lambda t, i: list_position(l, t) = i), lambda t: t)[:12] AS terms FROM c0),
+c1 AS (SELECT case_id, list_transform(list_filter(l, lambda t, i: list_position(l, t) = i), lambda t: t) AS terms FROM c0),
 c2 AS (SELECT case_id, len(terms) AS n_terms, unnest(terms) AS term, generate_subscripts(terms, 1) AS ord FROM c1),
 m AS (SELECT case_id, unit_id, n_terms, n_tokens, list(coalesce(idf, 1.0) ORDER BY ord) AS ws, string_agg(c2.term, ' ' ORDER BY ord) AS matched FROM c2 JOIN po USING (term) LEFT JOIN idf USING (term) GROUP BY case_id, unit_id, n_terms, n_tokens),
 sc AS (SELECT *, round(list_reduce(ws, lambda a, b: a + b) * (0.5 + len(ws) / n_terms) * (1 / (1 + ln(1 + greatest(n_tokens - 12, 0)))), 4) AS score FROM m),
@@ -179,7 +226,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, un
 @query(f"WITH {SEARCH} SELECT case_id, rank::INT AS rank, unit_id, score, matched FROM rk WHERE rank <= 8")
 def provision_search_batch(spark, sf_dir):
     units = _sentence_units(spark, sf_dir)
-    found = provisions.search(_item_cases(spark, sf_dir), units, provisions.idf_table(units), 8)
+    found = provisions.search(_item_cases(spark, sf_dir), units, top=8)
     return found.select("case_id", "rank", "unit_id", "score", F.array_join("matched", " ").alias("matched"))
 
 
@@ -190,7 +237,7 @@ SELECT case_id, CASE WHEN score IS NULL THEN 'not_found' WHEN n < 2 THEN CASE WH
   WHEN d < 1 THEN CASE WHEN score >= 6 THEN 'weak' ELSE 'not_found' END WHEN score >= 6 THEN 'supported' WHEN score >= 2.5 THEN 'weak' ELSE 'not_found' END AS outcome FROM g""")
 def assess_verdicts(spark, sf_dir):
     cases, units = _item_cases(spark, sf_dir), _sentence_units(spark, sf_dir)
-    top = provisions.search(cases, units, provisions.idf_table(units), 1).join(units.select("unit_id", "text"), "unit_id").withColumn("conflicts", T.conflicts("text", F.lit("")))
+    top = provisions.search(cases, units, top=1).join(units.select("unit_id", "text"), "unit_id").withColumn("conflicts", T.conflicts("text", F.lit("")))
     return provisions.assess(cases.select("case_id").join(top, "case_id", "left")).select("case_id", "outcome")
 
 
@@ -407,7 +454,7 @@ def anchor_inversions(spark, sf_dir):
     return validate.page_anchors(markdown.classified(markdown.lines(markdown_of(spark, sf_dir))))
 
 
-@query("""WITH p AS (SELECT o_orderkey AS doc_id, unnest(['recall', 'table_markers', 'heading_levels', 'sections']) AS chk, unnest([0.9 + (o_orderkey % 10) / 100.0, (o_orderkey % 4 <> 0)::INT::DOUBLE, 0.5 + (o_orderkey % 6) / 10.0, 0.85]) AS score, unnest([0.35, 0.10, 0.13, 0.10]) AS w, unnest([false, o_orderkey % 4 = 0, false, false]) AS blocker FROM orders),
+@query("""WITH p AS (SELECT o_orderkey AS doc_id, unnest(['recall', 'table_markers', 'heading_levels', 'sections']) AS chk, unnest([0.9 + (o_orderkey % 10) / 100.0, (o_orderkey % 4 <> 0)::INT::DOUBLE, 0.5 + (o_orderkey % 6) / 10.0, 0.85]) AS score, unnest([0.35, 0.10, 0.13, 0.10])::DOUBLE AS w, unnest([false, o_orderkey % 4 = 0, false, false]) AS blocker FROM orders),
 g AS (SELECT doc_id, round(100 * sum(score * w) / sum(w), 1) AS score, round(sum(w), 2) AS weight, bool_or(blocker) AS blocked FROM p GROUP BY doc_id)
 SELECT doc_id, CASE WHEN blocked THEN 'quarantine' WHEN score >= 90 THEN 'pass' WHEN score >= 70 THEN 'review' ELSE 'quarantine' END AS verdict, weight FROM g""")
 def validation_verdicts(spark, sf_dir):
@@ -438,6 +485,19 @@ def recall_reconcile(spark, sf_dir):
     return validate.recall(d, cut).select("doc_id", "tokens", "missing", "furniture", "rejoined")
 
 
+@query(f"""WITH wp AS (SELECT doc_id, i // 12 + 1 AS page, unnest({_ATOK.format(c='text')}) AS token FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
+wn AS (SELECT doc_id, page, token, count(*) AS n FROM wp GROUP BY ALL), wr AS (SELECT doc_id, unnest({_ATOK.format(c=_CUT)}) AS token FROM documents), wq AS (SELECT doc_id, token, count(*) AS pool FROM wr GROUP BY ALL),
+wu AS (SELECT wn.*, coalesce(pool, 0) AS pool, sum(n) OVER (PARTITION BY doc_id, token ORDER BY page) AS upto FROM wn LEFT JOIN wq USING (doc_id, token)),
+wl AS (SELECT doc_id, page, sum(greatest(0, upto - pool) - greatest(0, upto - n - pool))::BIGINT AS lost, sum(n)::BIGINT AS tokens FROM wu GROUP BY doc_id, page),
+wk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lost / tokens DESC, page) AS rank FROM wl WHERE lost > 0.05 * tokens)
+SELECT doc_id, rank::INT AS rank, page::INT AS page, lost, tokens FROM wk WHERE rank <= 10""")
+def worst_pages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = d.select("doc_id", F.expr("substring(text, 1, cast(floor(length(text) * 9 / 10) as int))").alias("text"))
+    pages = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select("doc_id", (F.floor(F.col("i") / 12) + 1).cast("int").alias("page"), "text")
+    return validate.worst_pages(validate.recall_by_page(pages, cut))
+
+
 # ---- layout
 
 
@@ -505,12 +565,30 @@ def line_headings(spark, sf_dir):
     return layout.headings(page_lines(spark, sf_dir), bold_counts=True).select("doc_id", "page", "line_no", "heading_level")
 
 
-@query(r"""WITH t(n, line) AS (VALUES (1, 'About this Booklet ......... 1'), (2, 'Section 5: Eligibility          12'), (3, 'Contents'), (4, 'plain prose line'), (5, 'Appendix … iv'), (6, '12 .... 13'), (7, 'Riders …… xiv'))
-SELECT n, CASE WHEN n IN (1, 2) THEN trim(regexp_extract(line, '^(.*?)[\s.…]+([0-9]+|[ivx]+)$', 1)) END AS title, CASE WHEN n IN (1, 2) THEN regexp_extract(line, '([0-9]+|[ivx]+)$') END AS page FROM t""")
+#: Contents lines over the rows of ``part``: leaders, wide gaps, a title line, prose without a page, front matter, roman pages.
+TOC_LINES = """CASE p_partkey % 8 WHEN 0 THEN p_name || ' ' || repeat('.', (p_size % 9)::INT) || ' ' || p_size WHEN 1 THEN p_name || repeat(' ', (p_size % 4 + 1)::INT) || p_size WHEN 2 THEN 'Contents'
+  WHEN 3 THEN p_name WHEN 4 THEN 'Contact Us, ' || p_brand || ' ...... ' || p_size WHEN 5 THEN 'Appendix ' || p_brand || ' ____ xiv' WHEN 6 THEN p_size || ' .... ' || p_size ELSE '  Section ' || p_size || ': ' || p_name || '    iv ' END"""
+TOC = f"""tl AS (SELECT p_partkey, regexp_replace({TOC_LINES}, '\\s+$', '') AS line FROM part),
+tm AS (SELECT p_partkey, line, regexp_matches(line, '{K.TOC_LEADER}') AS lead, regexp_matches(line, '{K.TOC_PLAIN}') AS plain FROM tl),
+tp AS (SELECT p_partkey, line, lead OR plain AS fits, trim(regexp_replace(CASE WHEN lead THEN regexp_extract(line, '{K.TOC_LEADER}', 1) ELSE regexp_extract(line, '{K.TOC_PLAIN}', 1) END, '\\s+', ' ', 'g')) AS title,
+  CASE WHEN lead THEN regexp_extract(line, '{K.TOC_LEADER}', 2) ELSE regexp_extract(line, '{K.TOC_PLAIN}', 2) END AS page FROM tm),
+te AS (SELECT p_partkey, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN page END AS page FROM (SELECT *, fits AND NOT regexp_matches(line, '(?i)^\\s*(table of contents|contents|what.s inside)\\s*$') AND length(title) >= 4 AND regexp_matches(title, '\\p{{L}}') AS ok FROM tp))"""
+
+
+def _toc_rows(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(TOC_LINES.replace("p_size ||", "cast(p_size as string) ||").replace("|| p_size", "|| cast(p_size as string)").replace("::INT", "")).alias("line"))
+
+
+@query(f"WITH {TOC} SELECT * FROM te")
 def toc_entries(spark, sf_dir):
-    rows = [(1, "About this Booklet ......... 1"), (2, "Section 5: Eligibility          12"), (3, "Contents"), (4, "plain prose line"), (5, "Appendix … iv"), (6, "12 .... 13"), (7, "Riders …… xiv")]
-    t = spark.createDataFrame(rows, "n int, line string").withColumn("e", T.toc_entry("line"))
-    return t.select("n", F.col("e.title").alias("title"), F.col("e.page").alias("page"))
+    t = _toc_rows(spark, sf_dir).withColumn("e", T.toc_entry("line"))
+    return t.select("p_partkey", F.col("e.title").alias("title"), F.col("e.page").alias("page"))
+
+
+@query(f"WITH {TOC} SELECT *, regexp_matches(title, '{K.DIVISION_ENTRY}') AS division FROM te WHERE title IS NOT NULL AND NOT regexp_matches(title, '{K.FRONT_MATTER}')")
+def toc_body_entries(spark, sf_dir):
+    t = _toc_rows(spark, sf_dir).withColumn("e", T.toc_entry("line")).where("e is not null").select("p_partkey", F.col("e.title").alias("title"), F.col("e.page").alias("page"))
+    return inventory.body_entries(t)
 
 
 @query()
@@ -555,6 +633,13 @@ def bm25_topk(spark, sf_dir):
     return search.bm25(table(spark, sf_dir, "documents"), asked, 8)
 
 
+@query(f"""WITH {BM}, bf AS (SELECT bs.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs JOIN documents USING (doc_id) WHERE lang IN ('fr', 'de') AND source <> 'src0')
+SELECT query_id, rank::INT AS rank, doc_id, score FROM bf WHERE rank <= 8""")
+def bm25_topk_filtered(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.search_tokens("text").alias("terms"))
+    return search.bm25(table(spark, sf_dir, "documents"), asked, 8, where=F.col("lang").isin("fr", "de") & (F.col("source") != "src0"))
+
+
 HY = f"""hv AS (SELECT q.vec_id AS query_id, a.vec_id AS id, {_COS} AS score FROM embeddings a, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
 hd AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, 0 AS list FROM hv QUALIFY rank <= 16), hs AS (SELECT query_id, doc_id AS id, rank, 1 AS list FROM br WHERE rank <= 16),
 hf AS (SELECT query_id, id, round(sum(1 / (60 + rank)), 6) AS score, min((list, rank)) AS first FROM (SELECT * FROM hd UNION ALL SELECT * FROM hs) GROUP BY 1, 2)"""
@@ -693,3 +778,56 @@ def event_windows(spark, sf_dir):
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*)::BIGINT AS events FROM g GROUP BY user_id, g""")
 def user_sessions(spark, sf_dir):
     return ingest.sessions(table(spark, sf_dir, "events"))
+
+
+# ---- grids
+
+
+def _drawn(spark, sf_dir):
+    """Words and cell boxes of pages drawn from ``part``: two pages of twenty rows for each forty parts, with a header on
+    each; each seventh row is one merged cell over the three columns."""
+    p = table(spark, sf_dir, "part").select((F.floor(F.col("p_partkey") / 40)).alias("doc_id"), (F.floor(F.pmod("p_partkey", F.lit(40)) / 20) + 1).cast("int").alias("page"), (F.pmod("p_partkey", F.lit(20)) + 1).alias("r"), (F.col("p_partkey") % 7 == 3).alias("banner"), F.array("p_name", "p_brand", F.col("p_size").cast("string")).alias("v"))
+    head = p.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0).cast("long").alias("r"), F.lit(False).alias("banner"), F.array(F.lit("Name"), F.lit("Brand"), F.lit("Size")).alias("v"))
+    rows = p.withColumn("r", F.col("r").cast("long")).unionByName(head)
+    # a page whose rows have gaps would have rows that no box draws, so rows are numbered anew
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("r")) - 1).withColumn("top", 100.0 + F.col("k") * 20.0)
+    cells = rows.select("doc_id", "page", "top", F.posexplode(F.when(F.col("banner"), F.slice("v", 1, 1)).otherwise(F.col("v"))).alias("c", "text"), "banner")
+    words = cells.select("doc_id", "page", "top", "c", F.posexplode(F.split("text", " ")).alias("w", "text")).select("doc_id", "page", "text", (60.0 + F.col("c") * 200.0 + F.col("w") * 30.0).alias("x0"), (80.0 + F.col("c") * 200.0 + F.col("w") * 30.0).alias("x1"), (F.col("top") + 4.0).alias("top"), (F.col("top") + 16.0).alias("bottom"))
+    box = F.struct((50.0 + F.col("c") * 200.0).alias("x0"), "top", F.when(F.col("banner"), 650.0).otherwise(250.0 + F.col("c") * 200.0).alias("x1"), (F.col("top") + 20.0).alias("bottom"))
+    return words, cells.groupBy("doc_id", "page").agg(F.lit(0).alias("table_idx"), F.collect_list(box).alias("cells"))
+
+
+DRAWN = """gp AS (SELECT p_partkey // 40 AS doc_id, p_partkey % 40 // 20 + 1 AS page, p_partkey % 20 + 1 AS r, p_partkey % 7 = 3 AS banner, [p_name, p_brand, p_size::VARCHAR] AS v FROM part),
+ga AS (SELECT * FROM gp UNION ALL SELECT DISTINCT doc_id, page, 0, false, ['Name', 'Brand', 'Size'] FROM gp),
+gr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY r) - 1 AS k FROM ga),
+gl AS (SELECT *, last_value(CASE WHEN banner THEN v[1] END IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY k) AS grp FROM gr)"""
+
+
+@query(f"WITH {DRAWN} SELECT doc_id, page::INT AS page, k::INT AS row, unnest(CASE WHEN banner THEN [0] ELSE [0, 1, 2] END)::INT AS col, CASE WHEN banner THEN 3 ELSE 1 END::INT AS colspan, unnest(CASE WHEN banner THEN v[1:1] ELSE v END) AS text, 1 AS header_rows, 0 AS caption_rows FROM gr")
+def page_grid_cells(spark, sf_dir):
+    g = grids.page_grids(*_drawn(spark, sf_dir)).select("doc_id", "page", "header_rows", "caption_rows", F.explode("cells").alias("c"))
+    return g.select("doc_id", "page", F.col("c.r0").alias("row"), F.col("c.c0").alias("col"), (F.col("c.c1") - F.col("c.c0")).alias("colspan"), F.col("c.text").alias("text"), "header_rows", "caption_rows")
+
+
+@query(f"""WITH {DRAWN} SELECT doc_id, page::INT AS page, k::INT AS row, CASE WHEN grp IS NULL THEN '' ELSE grp || ' - ' END || 'Name: ' || v[1] || ' | Brand: ' || v[2] || ' | Size: ' || v[3] AS sentence FROM gl WHERE k > 0 AND NOT banner""")
+def grid_sentences(spark, sf_dir):
+    g = grids.page_grids(*_drawn(spark, sf_dir))
+    said = grids.rendered(g).select("doc_id", "page", F.posexplode("sentences").alias("at", "sentence"))
+    data = g.select("doc_id", "page", F.explode("cells").alias("c")).where("c.r0 > 0 and c.c0 = 0 and c.c1 = 1").select("doc_id", "page", F.col("c.r0").alias("row"))
+    data = data.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("row")) - 1)
+    return said.join(data, ["doc_id", "page", "at"]).select("doc_id", "page", "row", "sentence")
+
+
+@query(f"""WITH {DRAWN}, gh AS (SELECT *, CASE WHEN banner THEN '    <td colspan="3">' || v[1] || '</td>' ELSE array_to_string(list_transform(v, lambda x: '    <' || tag || '>' || x || '</' || tag || '>'), chr(10)) END AS h FROM (SELECT *, CASE WHEN k = 0 THEN 'th' ELSE 'td' END AS tag FROM gr)),
+gm AS (SELECT doc_id, page, bool_or(banner) AS spans, '<table>' || chr(10) || string_agg('  <tr>' || chr(10) || h || chr(10) || '  </tr>', chr(10) ORDER BY k) || chr(10) || '</table>' AS html,
+  '| Name | Brand | Size |' || chr(10) || '| --- | --- | --- |' || string_agg(CASE WHEN k > 0 THEN chr(10) || '| ' || array_to_string(v, ' | ') || ' |' ELSE '' END, '' ORDER BY k) AS pipe FROM gh GROUP BY doc_id, page)
+SELECT doc_id, page::INT AS page, CASE WHEN spans THEN html ELSE pipe END AS markdown FROM gm""")
+def grid_markdown(spark, sf_dir):
+    return grids.rendered(grids.page_grids(*_drawn(spark, sf_dir))).select("doc_id", "page", "markdown")
+
+
+@query(f"""WITH {DRAWN}, gs AS (SELECT doc_id, count(*) - count(DISTINCT page) + 1 AS n_rows, list_sort(list(DISTINCT page::INT)) AS pages, sum(CASE WHEN banner THEN 1 ELSE 3 END) - 3 * count(DISTINCT page) + 3 AS cells FROM gr GROUP BY doc_id)
+SELECT doc_id, n_rows::INT AS n_rows, array_to_string(pages, ',') AS pages, cells::INT AS cells FROM gs""")
+def stitched_grids(spark, sf_dir):
+    g = grids.stitched(grids.page_grids(*_drawn(spark, sf_dir)))
+    return g.select("doc_id", "n_rows", F.array_join("pages", ",").alias("pages"), F.size("cells").alias("cells"))
