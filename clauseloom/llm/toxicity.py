@@ -29,8 +29,10 @@ SAMPLE_ROWS = 20_000
 MAX_TERMS, MIN_ROWS, MIN_Z = 4096, 5, 3.5
 #: Frequent terms that are tried in pairs, the least rows with both, and the least interaction in standard errors (a term
 #: that tells much alone, met with any frequent one, comes near 6 by its uneven spread).
-PAIR_TERMS, PAIR_ROWS, PAIR_Z = 1024, 20, 8.0
+PAIR_TERMS, PAIR_ROWS, PAIR_Z = 512, 20, 8.0
 FACTORS, STEPS, RATE, DECAY = 8, 400, 0.05, 2e-3
+#: Cells of the rows' matrix up to which it is held as floats (128 MB).
+MATRIX_CELLS = 1 << 25
 TABLE_WORDS = 500_000
 
 
@@ -92,24 +94,50 @@ def _raw(bias, weights, vectors, at, n):
     return bias + linear + 0.5 * (total**2 - square).sum(1), of, v, total
 
 
+def dense(rows: list[list[int]], d: int) -> list[np.ndarray]:
+    """The rows as blocks of 0 and 1, a byte each: for a sample of 20,000 rows and some thousand terms some ten MB."""
+    out = []
+    for lo in range(0, len(rows), 2048):
+        at, n = _flat(rows[lo : lo + 2048])
+        x = np.zeros((len(n), d), np.uint8)
+        x[np.repeat(np.arange(len(n)), n), at] = 1
+        out.append(x)
+    return out
+
+
 def fit(rows: list[list[int]], labels: np.ndarray, places: dict[int, int], seed: int = 7) -> Machine:
-    """Full-batch Adam on the mean log loss with weight decay; the same input gives the same machine."""
-    d, y = max(1, len(places)), np.asarray(labels, float)
+    """Full-batch Adam on the mean log loss with weight decay; the same input gives the same machine. Terms are 0 or 1, so
+    that sums and gradients over all rows are products with the rows' matrix."""
+    d, y = max(1, len(places)), np.asarray(labels, np.float32)
     rng = np.random.default_rng(seed)
-    rate = min(max(y.mean() if len(y) else 0.5, 1e-4), 1 - 1e-4)
-    p = [np.array([np.log(rate / (1 - rate))]), np.zeros(d), rng.normal(0, 0.05, (d, FACTORS))]
-    at, n = _flat(rows)
+    rate = min(max(float(y.mean()) if len(y) else 0.5, 1e-4), 1 - 1e-4)
+    p = [np.array([np.log(rate / (1 - rate))]), np.zeros((d, 1)), rng.normal(0, 0.05, (d, FACTORS))]
+    blocks = dense(rows, d)
+    if len(y) * d <= MATRIX_CELLS:
+        blocks = [x.astype(np.float32) for x in blocks]
+    ends = np.cumsum([len(x) for x in blocks])
     m, s = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     for step in range(1, STEPS + 1 if len(y) else 1):
-        raw, of, v, total = _raw(p[0][0], p[1], p[2], at, n)
-        g = (_sigmoid(raw) - y) / len(y)
-        each = g[of]
-        grads = [np.array([g.sum()]), np.bincount(at, each, d) + DECAY / 10 * p[1], np.stack([np.bincount(at, each * (total[of, k] - v[:, k]), d) for k in range(FACTORS)], 1) + DECAY / 10 * p[2]]
+        # one product gives linear parts, sums of vectors, and sums of their squares
+        all_ = np.concatenate([p[1], p[2], (p[2] ** 2).sum(1, keepdims=True)], 1).astype(np.float32)
+        grads = [np.zeros(1), np.zeros((d, 1)), np.zeros((d, FACTORS))]
+        for x, end in zip(blocks, ends, strict=True):
+            x = x.astype(np.float32, copy=False)
+            got = x @ all_
+            total = got[:, 1:-1]
+            raw = p[0][0] + got[:, 0] + 0.5 * ((total**2).sum(1) - got[:, -1])
+            g = ((_sigmoid(raw) - y[end - len(x) : end]) / len(y)).astype(np.float32)[:, None]
+            back = x.T @ np.concatenate([g, g * total], 1)
+            grads[0] += g.sum()
+            grads[1] += back[:, :1]
+            grads[2] += back[:, 1:] - p[2] * back[:, :1]
+        grads[1] += DECAY / 10 * p[1]
+        grads[2] += DECAY / 10 * p[2]
         for i, x in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * x
             s[i] = 0.999 * s[i] + 0.001 * x * x
             p[i] = p[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.999**step)) + 1e-8)
-    return Machine(places, float(p[0][0]), p[1], p[2])
+    return Machine(places, float(p[0][0]), p[1][:, 0], p[2])
 
 
 def paired(rows: list[list[int]], labels: np.ndarray, d: int) -> set[int]:
@@ -118,12 +146,11 @@ def paired(rows: list[list[int]], labels: np.ndarray, d: int) -> set[int]:
     y = np.asarray(labels, np.float32)
     r = y - y.mean() if len(y) else y
     both, told = np.zeros((d, d), np.float32), np.zeros((d, d), np.float32)
-    for lo in range(0, len(rows), 1024):
-        at, n = _flat(rows[lo : lo + 1024])
-        x = np.zeros((len(n), d), np.float32)
-        x[np.repeat(np.arange(len(n)), n), at] = 1
+    at = 0
+    for x in (x.astype(np.float32) for x in dense(rows, d)):
         both += x.T @ x
-        told += x.T @ (x * r[lo : lo + 1024, None])
+        told += x.T @ (x * r[at : at + len(x), None])
+        at += len(x)
     n, s = np.diag(both).astype(float), np.diag(told).astype(float)
     mean = s / np.maximum(n, 1)
     free = np.maximum(1 - both / np.maximum(n, 1)[:, None], 0.02) * np.maximum(1 - both / np.maximum(n, 1)[None, :], 0.02)
