@@ -121,3 +121,24 @@ def test_pages_to_markdown(spark):
     assert "# Section 1: Rules" in md and "examples and more." in md and "Booklet" not in md
     assert md.count("<!-- table id=") == 1 and "| Chairs | 20 |" in md and md.index("| Beds | 10 |") < md.index("| Chairs | 20 |")
     assert md.index("<!-- page: 1 -->") < md.index("<!-- page: 2 -->")
+
+
+def test_folds_over_many_pages(spark, tmp_path):
+    """Pages take well under the 100 ms that a data frame for each cell took, and the folds are dealt to all tasks."""
+    import time
+
+    xs, ys = [0, 100, 200, 300], [20 * k for k in range(31)]
+    texts = {(r, c): f"r{r} c{c}" for r in range(30) for c in range(3)}
+    drawn, said = cells(xs, ys), put(xs, ys, texts)
+    began = time.process_time()
+    for _ in range(20):
+        grids.grid_of(drawn, said, 1)
+    assert time.process_time() - began < 20 * 0.05
+    schema = "doc_id long, page int, text string, x0 double, x1 double, top double, bottom double"
+    words = spark.createDataFrame([(d, p, w["text"], float(w["x0"]), float(w["x1"]), float(w["top"]), float(w["bottom"])) for d in range(20) for p in (1, 2) for w in said], schema)
+    boxes = spark.createDataFrame([(d, p, 0, [tuple(map(float, b)) for b in drawn]) for d in range(20) for p in (1, 2)], "doc_id long, page int, table_idx int, cells array<struct<x0:double,top:double,x1:double,bottom:double>>")
+    found = grids.page_grids(words, boxes)
+    assert found.rdd.getNumPartitions() >= 4 and found.count() == 40
+    said = grids.rendered(found, ("cells",)).collect()
+    assert {len(r.cells) for r in said} == {90} and {len(r.sentences) for r in said} == {29} and said[0].sentences[0] == "r0 c0: r1 c0 | r0 c1: r1 c1 | r0 c2: r1 c2"
+    assert {(r.n_rows, tuple(r.pages)) for r in grids.stitched(found).collect()} == {(59, (1, 2))}
