@@ -268,20 +268,26 @@ class Scorer:
         self.inside = head - room[self.head_class - WORDS] if len(head) else head
         self.inside[:WORDS] = 0.0 if len(head) else self.inside[:WORDS]
         self.room = room
+        # each context vector through the matrix of its distance, once; a last place that is 1 brings the biases in
+        self.steps = [np.pad(p[0] @ p[1][j], ((0, 0), (0, 1)), constant_values=float(j == 0)) for j in range(CONTEXT)]
+        self.to = np.ascontiguousarray(np.vstack([p[2].T, p[3]]))
+        longest = sum(np.sqrt((t[:, :DIM] ** 2).sum(1).max()) for t in self.steps)
+        #: whether no product of a predicted vector and a target's is near the end of the range
+        self.small = bool(longest * np.sqrt((p[2] ** 2).sum(1).max()) <= 60)
 
     def model(self, targets: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 of the normalised probability of each target."""
         ctx, out = contexts(targets, first), np.empty(len(targets))
-        q, b = np.ascontiguousarray(self.p[2].T), self.p[3]
-        ones, largest = np.ones(TARGETS, np.float32), np.sqrt((q * q).sum(0).max())
+        ones, held, rows = np.ones(TARGETS, np.float32), np.empty((256, TARGETS), np.float32), np.arange(256)
         for lo in range(0, len(targets), 256):  # a block of scores stays in the cache
             at = slice(lo, lo + 256)
-            h = predicted(self.p, ctx[:, at])
-            scores = h @ q
-            scores += b
-            if np.sqrt((h * h).sum(1).max()) * largest > 60:  # else no score is near the end of the range
+            h = self.steps[0][ctx[0, at]]
+            for j in range(1, CONTEXT):
+                h += self.steps[j][ctx[j, at]]
+            scores = np.matmul(h, self.to, out=held[: len(h)])
+            if not self.small:
                 scores -= scores.max(1, keepdims=True)
-            own = scores[np.arange(len(scores)), targets[at]]
+            own = scores[rows[: len(h)], targets[at]]
             np.exp(scores, out=scores)
             out[at] = own - np.log(scores @ ones)
         return out / math.log(10)

@@ -237,3 +237,23 @@ def test_mixing_edges(spark):
     none, _ = mixing.rates(docs, mixing.domain_rows(docs, labels.limit(0)))
     assert {r.rate for r in none.collect()} == {1.0}
     assert mixing.mixed(docs.limit(0), mixing.domain_rows(docs.limit(0), labels)).collect() == []
+
+
+def test_scores_of_the_model_by_tables():
+    """The scorer's tables give the plain model's probabilities, with small scores and with ones at the end of the range."""
+    import numpy as np
+
+    from clauseloom.llm import lm_scoring as lm
+
+    rng = np.random.default_rng(0)
+    rank = {f"w{i}".encode(): i for i in range(300)}
+    counts = lm.Counts(10**6, 301, 1000, rank, np.arange(300, 0, -1), np.full(lm.CLASSES, 500.0), np.full(lm.CLASSES, 20.0))
+    t, first = rng.integers(0, lm.TARGETS, 700).astype(np.int32), np.array([0, 3, 300])
+    for scale, small in ((0.3, True), (4.0, False)):
+        p = [rng.normal(0, scale, s).astype(np.float32) for s in ((lm.TARGETS + 1, lm.DIM), (lm.CONTEXT, lm.DIM, lm.DIM), (lm.TARGETS, lm.DIM), (lm.TARGETS,))]
+        scorer, ctx = lm.Scorer(counts, p), lm.contexts(t, first)
+        r, c, q, b = (x.astype(float) for x in p)
+        s = sum(r[ctx[j]] @ c[j] for j in range(lm.CONTEXT)) @ q.T + b
+        plain = s[np.arange(700), t] - s.max(1) - np.log(np.exp(s - s.max(1, keepdims=True)).sum(1))
+        assert scorer.small is small
+        np.testing.assert_allclose(scorer.model(t, first), plain / np.log(10), rtol=1e-4, atol=1e-3)
