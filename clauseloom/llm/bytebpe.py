@@ -30,18 +30,20 @@ BYTE_CHARS[sorted(set(range(256)) - set(PRINTABLE))] = 0x100 + np.arange(256 - l
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-_CLASSES, _KNOWN = np.full(0x110000, OTHER, np.uint8), np.zeros(0x1100, bool)
+#: A class not looked up yet is 255.
+_CLASSES = np.full(0x110000, 255, np.uint8)
 
 
 def classes(cp: np.ndarray) -> np.ndarray:
     """The class of each code point; the table is filled in pages of 256 as they occur."""
-    pages = np.bincount(cp >> 8, minlength=len(_KNOWN)) > 0
-    for page in np.flatnonzero(pages & ~_KNOWN).tolist():
-        for c in range(page << 8, (page + 1) << 8):
-            kind = unicodedata.category(chr(c))[0]
-            _CLASSES[c] = SPACE if c in WHITE else LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
-        _KNOWN[page] = True
-    return _CLASSES[cp]
+    found = _CLASSES[cp]
+    if len(cp) and found.max() == 255:
+        for page in np.unique(cp[found == 255] >> 8).tolist():
+            for c in range(page << 8, (page + 1) << 8):
+                kind = unicodedata.category(chr(c))[0]
+                _CLASSES[c] = SPACE if c in WHITE else LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
+        found = _CLASSES[cp]
+    return found
 
 
 @functools.lru_cache(4)
@@ -51,11 +53,11 @@ def powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return each(base), each(pow(base, -1, 1 << 64))
 
 
-def piece_hash(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A polynomial hash of each piece, from running sums over all code points."""
-    up, down = powers(base, max(20, int(len(cp)).bit_length()))
-    run = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum((cp + np.uint64(1)) * up[: len(cp)], dtype=np.uint64, out=run[1:])
+def piece_hash(value: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A polynomial hash of each piece, from running sums over the values (64 bits) of all code points."""
+    up, down = powers(base, max(20, int(len(value)).bit_length()))
+    run = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value * up[: len(value)], out=run[1:])
     return (run[ends] - run[starts]) * down[starts]
 
 
@@ -102,32 +104,58 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.checks, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.at = np.zeros(1, np.int64)
+        #: the hashes of the pieces, sorted, with their rows: most of them, and the late ones, which join them in bulk
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
+        #: of each row the second hash and where its ids begin and end; the arrays have room at their ends
+        self.n = self.n_ids = 0
+        self.checks, self.at = np.zeros(0, np.uint64), np.zeros(1, np.int64)
         self.ids, self.lo, self.hi = (np.zeros(0, np.int32) for _ in range(3))
 
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write values into the array ``name`` from ``at`` on; it grows by doubling."""
+        held = getattr(self, name)
+        if at + len(values) > len(held):
+            more = np.empty(max(2 * len(held), at + len(values)), held.dtype)
+            more[:at] = held[:at]
+            setattr(self, name, more)
+        getattr(self, name)[at : at + len(values)] = values
+
+    def _rows(self, key: np.ndarray) -> np.ndarray:
+        """The rows of the sorted keys; -1 for new ones."""
+        out = np.full(len(key), -1, np.int64)
+        for keys, rows in self.known:
+            at = np.searchsorted(keys, key)
+            found = at < len(keys)
+            found[found] = keys[at[found]] == key[found]
+            out[found] = rows[at[found]]
+        return out
+
+    def _remember(self, key: np.ndarray, rows: np.ndarray) -> None:
+        """Add sorted new keys to the late ones."""
+        join = lambda a, b: tuple(np.insert(x, np.searchsorted(a[0], b[0]), y) for x, y in zip(a, b, strict=True))
+        most, late = self.known[0], join(self.known[1], (key, rows))
+        self.known = [join(most, late), (key[:0], rows[:0])] if len(late[0]) > len(most[0]) // 8 else [most, late]
+
     def _learn(self, pieces: list[str], checks: np.ndarray) -> None:
         """Encode new pieces; their rows follow those in the table. Where no spans are asked for, the library's model gets
         the pieces as byte characters: they are cut already."""
         flat = lambda rows: np.fromiter(itertools.chain.from_iterable(rows), np.int32)
-        if not self.spans:
+        if self.spans:
+            found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
+            ids = [e.ids for e in found]
+            self._put("lo", self.n_ids, flat([a for a, _ in e.offsets] for e in found))
+            self._put("hi", self.n_ids, flat([b for _, b in e.offsets] for e in found))
+        else:
             cut = self.tokenizer.model.tokenize
             raw = [p.encode() for p in pieces]
             ends = np.cumsum([len(r) for r in raw]).tolist()
             chars = BYTE_CHARS[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
             ids = [[t.id for t in cut(chars[a:b])] for a, b in zip([0, *ends], ends, strict=False)]
-            self.checks = np.concatenate([self.checks, checks])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
-            self.ids = np.concatenate([self.ids, flat(ids)])
-            return
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        sizes = np.array([len(e.ids) for e in found], np.int64)
-        self.checks = np.concatenate([self.checks, checks])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, flat(e.ids for e in found)])
-        if self.spans:
-            self.lo = np.concatenate([self.lo, flat([a for a, _ in e.offsets] for e in found)])
-            self.hi = np.concatenate([self.hi, flat([b for _, b in e.offsets] for e in found)])
+        self._put("checks", self.n, checks)
+        self._put("at", self.n + 1, self.n_ids + np.cumsum([len(x) for x in ids]))
+        self._put("ids", self.n_ids, flat(ids))
+        self.n += len(ids)
+        self.n_ids = int(self.at[self.n])
 
     def _whole(self, texts: list[str], spans: bool):
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -155,8 +183,9 @@ class PieceEncoder:
             return z, np.zeros(len(texts), np.int64), (z if spans else None), (z if spans else None)
         ends = np.append(starts[1:], len(big))
         # equal pieces share a row of the table: it is found by one hash, and a second one with the length confirms it
-        key = piece_hash(cp, starts, ends, BASES[0])
-        check = piece_hash(cp, starts, ends, BASES[1]) + (ends - starts).astype(np.uint64)
+        value = cp + np.uint64(1)
+        key = piece_hash(value, starts, ends, BASES[0])
+        check = piece_hash(value, starts, ends, BASES[1]) + (ends - starts).astype(np.uint64)
         order = np.argsort(key)
         ordered = key[order]
         lead = np.append(True, ordered[1:] != ordered[:-1])
@@ -165,34 +194,29 @@ class PieceEncoder:
         one = order[lead]
         if (check != check[one][same]).any():
             return self._whole(texts, spans)
-        at = np.searchsorted(self.keys, key[one])
-        found = at < len(self.keys)
-        found[found] = self.keys[at[found]] == key[one][found]
-        if (self.checks[self.rows[at[found]]] != check[one][found]).any():
+        rows = self._rows(key[one])
+        found = rows >= 0
+        if (self.checks[rows[found]] != check[one][found]).any():
             return self._whole(texts, spans)
         if not found.all():
-            if len(self.keys) + int((~found).sum()) > TABLE_PIECES:
+            if self.n + int((~found).sum()) > TABLE_PIECES:
                 self._reset()
                 found[:] = False
-                at[:] = 0
             new = one[~found]
+            rows[~found] = self.n + np.arange(len(new))
             self._learn([big[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], check[new])
-            # both are sorted: the new keys go between the old ones
-            self.rows = np.insert(self.rows, at[~found], len(self.rows) + np.arange(len(new)))
-            self.keys = np.insert(self.keys, at[~found], key[new])
-            at = np.searchsorted(self.keys, key[one])
+            self._remember(key[new], rows[~found])
         # the ids of this slice's distinct pieces one after another, so that the many look-ups stay in a small array
-        rows = self.rows[at]
         each = self.at[rows + 1] - self.at[rows]
         place = np.cumsum(each) - each
         held = np.arange(int(each.sum())) + np.repeat(self.at[rows] - place, each)
         size = each[same]
         end_at = np.cumsum(size)
         pick = np.arange(end_at[-1]) + np.repeat(place[same] - (end_at - size), size)
-        of_text = np.searchsorted(bounds, starts, "right") - 1
-        counts = np.bincount(of_text, size, len(texts)).astype(np.int64)
+        counts = np.diff(np.append(0, end_at)[np.searchsorted(starts, bounds)])
         if not spans:
             return self.ids[held][pick], counts, None, None
+        of_text = np.searchsorted(bounds, starts, "right") - 1
         base = np.repeat(starts - bounds[of_text], size)
         return self.ids[held][pick], counts, base + self.lo[held][pick], base + self.hi[held][pick]
 

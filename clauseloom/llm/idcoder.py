@@ -25,11 +25,11 @@ import numpy as np
 MAGIC = b"CLM2"
 #: magic, crc32 of the rest, number of ids, size of the alphabet, lanes, steps
 HEADER = struct.Struct("<4sIQIII")
-LANE_IDS, MAX_LANES = 1024, 4096
+LANE_IDS, MAX_LANES = 512, 8192
 #: Order-2 slots; a slot holds an id and, in the low 3 bits, its confidence.
 ORDER2_BITS = 16
 CONF = 7
-EPOCH_STEPS = 128
+EPOCH_STEPS = 64
 #: Steps of an order-1 row's sizes in the mix, by powers of two.
 SIZES = 12
 #: The total at which the counts of a state of the mix are halved.
@@ -57,6 +57,15 @@ def search(values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct x (below 2^44, 2^19 of them at most) in order, how often each occurs, and the places of x in that
+    order."""
+    packed = np.sort((x << 19) | np.arange(len(x)))
+    value = packed >> 19
+    lead = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    return value[lead], np.diff(np.append(lead, len(x))), packed & ((1 << 19) - 1)
+
+
 class Model:
     def __init__(self, alphabet: int):
         self.alphabet = alphabet
@@ -99,12 +108,21 @@ class Model:
         self.row[first[lead]] = np.arange(len(lead))
         self.size[first[lead[good]]] = np.minimum(np.log2(sums[good] + 1).astype(np.int32), SIZES - 1)
 
-    def find(self, key: np.ndarray, p1: np.ndarray) -> np.ndarray:
-        """Each pair's number, or -1 if its row does not offer it."""
-        if not len(self.keys):
-            return np.full(len(key), -1, np.int64)
-        at = np.minimum(search(self.keys, key), len(self.keys)) - 1
-        return np.where((self.keys[at] == key) & (self.size[p1] > 0), at, -1)
+    def locate(self, p1: np.ndarray, v: np.ndarray):
+        """The distinct pairs (p1, v) of an epoch, how often each occurs, where each is or goes among the keys, which ones
+        are there, and the places of the epoch in the order of their pairs."""
+        new, n, places = runs(p1.astype(np.int64) * self.alphabet + v)
+        at = np.searchsorted(self.keys, new)
+        old = at < len(self.keys)
+        old[old] = self.keys[at[old]] == new[old]
+        return new, n, at, old, places
+
+    def find(self, located) -> np.ndarray:
+        """The number of the pair at each place of a located epoch, or -1 if its row does not offer it."""
+        new, n, at, old, places = located
+        out = np.empty(len(places), np.int64)
+        out[places] = np.repeat(np.where(old & (self.size[new // self.alphabet] > 0), at, -1), n)
+        return out
 
     def predict(self, p1: np.ndarray, p2: np.ndarray):
         """Slots, their contents, the predicted ids, and the state of the mix."""
@@ -117,17 +135,14 @@ class Model:
         conf = held & CONF
         self.slots[h] = np.where(hit, held + (conf < CONF), np.where(conf > 0, held - 1, (v << 3) | 1))
 
-    def close_epoch(self, p1: np.ndarray, v: np.ndarray) -> None:
-        """Count the ids v, the pairs (p1, v) and the symbols of an epoch."""
+    def close_epoch(self, v: np.ndarray, located) -> None:
+        """Count the ids v, the located pairs and the symbols of an epoch."""
         self.mix += np.bincount(np.concatenate(self.seen), minlength=self.mix.size).reshape(self.mix.shape)
         self.seen = []
         while (full := self.mix.sum(1) > MIX_LIMIT).any():
             self.mix[full] = (self.mix[full] >> 1) | 1
         self.freq += np.bincount(v, minlength=self.alphabet) * 24
-        new, n = np.unique(p1.astype(np.int64) * self.alphabet + v, return_counts=True)
-        at = np.searchsorted(self.keys, new)
-        old = at < len(self.keys)
-        old[old] = self.keys[at[old]] == new[old]
+        new, n, at, old, _ = located
         self.counts[at[old]] += n[old]
         self.keys = np.insert(self.keys, at[~old], new[~old])
         self.counts = np.insert(self.counts, at[~old], n[~old])
@@ -195,7 +210,8 @@ def encode_block(ids: np.ndarray) -> bytes:
     for start, stop in _epochs(steps, tail):
         a = lanes if start < tail else lanes - 1
         before, now = grid[start + 1 : stop + 1, :a].ravel(), grid[start + 2 : stop + 2, :a].ravel()
-        every = m.find(before.astype(np.int64) * alphabet + now, before).reshape(-1, a)
+        located = m.locate(before, now)
+        every = m.find(located).reshape(-1, a)
         for t in range(start, stop):
             p2, p1, v, pair = grid[t, :a], grid[t + 1, :a], grid[t + 2, :a], every[t - start]
             h, held, q2, state = m.predict(p1, p2)
@@ -211,7 +227,7 @@ def encode_block(ids: np.ndarray) -> bytes:
                 x = v[sel]
                 put(sel, m.cum[x], m.cum[x + 1], m.bits0)
             m.learn(v, h, held, hit, state, symbol)
-        m.close_epoch(before, now)
+        m.close_epoch(now, located)
     lane = np.concatenate([*lanes_out, np.repeat(np.arange(lanes, dtype=np.int16), 2)])
     digit = np.concatenate([*digits_out, np.stack([low >> SHIFT32, low & LOW32], 1).ravel().astype(np.uint32)])
     digit = digit[np.argsort(lane, kind="stable")].astype(U)
@@ -292,5 +308,6 @@ def decode_block(block: bytes) -> np.ndarray:
                 v[sel] = y
             m.learn(v, h, held, v == q2, state, symbol)
             grid[t + 2, :a] = v
-        m.close_epoch(grid[start + 1 : stop + 1, :a].ravel(), grid[start + 2 : stop + 2, :a].ravel())
+        now = grid[start + 2 : stop + 2, :a].ravel()
+        m.close_epoch(now, m.locate(grid[start + 1 : stop + 1, :a].ravel(), now))
     return grid[2:].T.ravel()[:n]

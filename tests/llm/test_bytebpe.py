@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from clauseloom.llm import bytebpe
 from clauseloom.llm.bytebpe import PieceEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,3 +36,17 @@ def test_as_the_library_on_any_text(texts):
 @pytest.mark.parametrize("texts", [[], ["", ""], ["I'll 's 'some don't!'s", "it's"], ["a<|endoftext|>b"], ["x" * 3000, "a"], [" ", "  a", "a  ", "a \n b"]])
 def test_edges(texts):
     same(texts)
+
+
+def test_many_slices_and_a_full_table(monkeypatch):
+    """Late pieces join the table in bulk; past its limit it starts anew."""
+    monkeypatch.setattr(bytebpe, "TABLE_PIECES", 700)
+    for spans in (False, True):
+        own = PieceEncoder(PATH, spans)
+        for k in range(30):
+            texts = [" ".join(f"w{(i * 37 + k * 11) % 997}x{i % 7}" for i in range(80)), "", f"slice {k}"]
+            ids, counts, *_ = own.encode(texts)
+            found = LIB.encode_batch(texts, add_special_tokens=False)
+            assert ids.tolist() == [x for e in found for x in e.ids] and counts.tolist() == [len(e.ids) for e in found]
+            assert len(own.known[0][0]) + len(own.known[1][0]) == own.n <= 700
+            assert len(own.known[1][0]) <= max(1, len(own.known[0][0]) // 8)

@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from clauseloom.llm import idcoder
 from clauseloom.llm.idcoder import CorruptBlock, decode_block, encode_block
 
 
@@ -51,3 +52,23 @@ def test_bits_an_id_of_text():
     block = encode_block(ids)
     assert (decode_block(block) == ids).all()
     assert len(block) * 8 / len(ids) < 6.5
+
+
+def test_few_steps_and_one_sort_an_epoch():
+    """A full block takes 512 steps, and an epoch's pairs are found and counted from one sort."""
+    rng = np.random.default_rng(1)
+    lanes, steps = idcoder._lanes(1 << 22)
+    assert lanes * steps == 1 << 22 and steps <= 512 and idcoder.MAX_LANES * idcoder.EPOCH_STEPS <= 1 << 19
+    m = idcoder.Model(300)
+    for _ in range(3):
+        p1, v = (rng.zipf(1.3, 5000).astype(np.int32) % 300 for _ in range(2))
+        located = m.locate(p1, v)
+        found, key = m.find(located), p1.astype(np.int64) * 300 + v
+        known = np.isin(key, m.keys)
+        assert ((found >= 0) == known).all() and (m.keys[found[known]] == key[known]).all()
+        m.seen.append(np.zeros(1, np.int64))
+        before = dict(zip(m.keys.tolist(), m.counts.tolist(), strict=True))
+        m.close_epoch(v, located)
+        for k, n in zip(*np.unique(key, return_counts=True), strict=True):
+            before[int(k)] = before.get(int(k), 0) + int(n)
+        assert dict(zip(m.keys.tolist(), m.counts.tolist(), strict=True)) == before and (np.diff(m.keys) > 0).all()

@@ -1,11 +1,13 @@
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clauseloom.llm import token_counts, token_output
+from clauseloom.llm.common import BATCH_KEY, workers_import
 from clauseloom.llm.idcoder import CorruptBlock
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,3 +82,19 @@ def test_damage_and_empty_tables(spark):
         bad = token_output.staged(files.withColumn(column, F.concat(F.expr(f"substring({column}, 1, octet_length({column}) - 1)"), F.unhex(F.lit("a7")))), "bad")
         with pytest.raises(Exception, match=CorruptBlock.__name__):
             token_output.decode_documents(bad).collect()
+
+
+def test_batches_to_workers_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    df = spark.range(0, 9000, 1, 1).select("id", F.repeat(F.lit("words "), 500).alias("text"))
+    spark.conf.unset(BATCH_KEY)
+    workers_import(spark)
+    got = df.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 9000 and max(r.size for r in got) < 5_000_000
+    spark.conf.set(BATCH_KEY, "1m")
+    workers_import(spark)
+    assert spark.conf.get(BATCH_KEY) == "1m"
+    spark.conf.unset(BATCH_KEY)
