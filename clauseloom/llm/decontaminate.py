@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import WORD_BYTES, staged, text_column, workers_import
+from .common import WORD_BYTES, small_batches, staged, text_column, workers_import
 
 WINDOW, BLOCK = 10, 2
 #: Bytes of item texts that one search table is built from (a table takes some hundred bytes a word); more items are
@@ -96,6 +96,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BY
     """
     spark = docs.sparkSession
     workers_import(spark)
+    small_batches(spark)
     out = docs.drop("n_words", "hits", "items")
     kept = list(out.schema.fields)
     span = StructType([StructField("a", LongType()), StructField("b", LongType())])

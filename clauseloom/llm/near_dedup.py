@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, staged, workers_import
+from .common import pieces, small_batches, staged, workers_import
 
 SHINGLE, ROWS, BANDS = 5, 6, 54
 BINS = ROWS * BANDS
@@ -114,6 +114,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), a and b (128 bits of the whole set; null for an empty one), bands, and low (a byte of each
     bin's minimum)."""
     workers_import(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def sketch(batches):
         hashes = WordHashes()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder
-from .common import staged, text_slices, workers_import
+from .common import small_batches, staged, text_slices, workers_import
 from .idcoder import CorruptBlock, decode_block, encode_block
 
 BLOCK_IDS = 1 << 22
@@ -51,6 +51,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids
     row stays a document of its own. Other columns are not read. No rows give no blocks.
     """
     workers_import(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def blocks(batches):
         shard, k, before = TaskContext.get().partitionId(), 0, 0
@@ -93,6 +94,7 @@ def decode_documents(files: DataFrame, ids: bool = False) -> DataFrame:
     """The documents of a token file set: doc_id, start (ids before it in the whole set), n_tokens, ids_crc32 and,
     if asked for, the ids. A damaged block raises CorruptBlock."""
     workers_import(files.sparkSession)
+    small_batches(files.sparkSession)
     per_shard = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     # one row for each written shard, some tens of bytes
     first = per_shard.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("shard_start"))

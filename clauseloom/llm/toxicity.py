@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import WORD_BYTES, remainder, staged, text_column, workers_import
+from .common import WORD_BYTES, remainder, small_batches, staged, text_column, workers_import
 
 HASH_BITS, PREFIX = 22, 6
 #: Labelled rows that the machine is fitted on at most: those with the smallest hashes of their doc_id.
@@ -174,6 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, trains: Column | None = None, samp
     of crc32(doc_id as text) modulo 5. Of rows that repeat a doc_id the one with the greatest text counts. What reaches
     the driver is bounded by ``sample_rows``, ``MAX_TERMS`` and ``PAIR_TERMS``."""
     workers_import(docs.sparkSession)
+    small_batches(docs.sparkSession)
     trains = remainder(F.col("doc_id"), 5) != 0 if trains is None else trains
     # at most sample_rows rows of 12 bytes
     sample = F.broadcast(labelled_sample(labels, trains, sample_rows).select("doc_id", "toxic"))
@@ -226,6 +227,7 @@ def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     text is read; an empty or null text gets the score of no terms."""
     spark = docs.sparkSession
     workers_import(spark)
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(machine)
     out = docs.drop(name)
     at = text_column(out)

@@ -124,3 +124,19 @@ def test_token_stage_and_run(spark, stages):
     assert sorted(map(tuple, stages["token_output"].collect())) == want
     assert all(zlib.crc32(b"") <= r[3] < 1 << 32 for r in want)
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
+
+
+def test_every_python_stage_bounds_its_batches(spark):
+    """Batches of 10,000 texts took the executors over their memory in near_dedup."""
+    from clauseloom.llm import decontaminate, near_dedup, token_output, toxicity
+    from clauseloom.llm.common import BATCH_BYTES, BATCH_KEY
+
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "some words")], "item_id string, text string")
+    held = spark.conf.get(BATCH_KEY, None)
+    machine = toxicity.Machine({}, 0.0, toxicity.np.zeros(1), toxicity.np.zeros((1, 1)))
+    for stage in (lambda: near_dedup.sketches(docs), lambda: decontaminate.decontaminated(docs, items), lambda: toxicity.scored(docs, machine), lambda: token_output.encode_documents(docs, "x")):
+        spark.conf.unset(BATCH_KEY)
+        stage()
+        assert spark.conf.get(BATCH_KEY) == BATCH_BYTES
+    spark.conf.unset(BATCH_KEY) if held is None else spark.conf.set(BATCH_KEY, held)

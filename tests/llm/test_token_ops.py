@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clauseloom.llm import token_counts, token_output
-from clauseloom.llm.common import BATCH_KEY, workers_import
+from clauseloom.llm.common import BATCH_KEY, small_batches
 from clauseloom.llm.idcoder import CorruptBlock
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,10 +91,10 @@ def test_batches_to_workers_are_bounded_by_bytes(spark):
 
     df = spark.range(0, 9000, 1, 1).select("id", F.repeat(F.lit("words "), 500).alias("text"))
     spark.conf.unset(BATCH_KEY)
-    workers_import(spark)
+    small_batches(spark)
     got = df.mapInArrow(sizes, "n long, size long").collect()
     assert sum(r.n for r in got) == 9000 and max(r.size for r in got) < 5_000_000
     spark.conf.set(BATCH_KEY, "1m")
-    workers_import(spark)
+    small_batches(spark)
     assert spark.conf.get(BATCH_KEY) == "1m"
     spark.conf.unset(BATCH_KEY)
